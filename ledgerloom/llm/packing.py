@@ -16,8 +16,10 @@ they come; an empty table gives no rows; a document of any length is cut; extra
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,9 @@ LIMITS = (2048, 512, 2048)
 BLOCK = 2048
 #: Texts over so many characters are tokenized in parts, cut where no token can cross.
 PART = 1 << 20
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, before it begins anew; texts that are tokenized together, and their characters.
+REMEMBERED = 800_000
+TEXTS, CHARACTERS = 500, 1 << 21
 END = 1
 
 
@@ -49,36 +52,44 @@ class Ids:
     joint = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _part(self, text: str) -> bytes:
-        if self.unsafe.search(text):
-            return self._encode([text])[0]
-        first, *words = text.split(" ")
-        if new := {w for w in words if w not in self.known}:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = set(words)
-            listed = list(new)
-            self.known.update(zip(listed, self._encode([" " + w for w in listed]), strict=True))
-        return self._encode([first])[0] + b"".join(map(self.known.__getitem__, words))
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        out, at = [], 0
+    def _parts(self, text: str) -> Iterator[str]:
+        at = 0
         while len(text) - at > PART:
             m = self.joint.search(text, at + PART)
             if not m:
                 break
-            out.append(self._part(text[at : m.start()]))
+            yield text[at : m.start()]
             at = m.start()
-        out.append(self._part(text[at:]))
-        return b"".join(out)
+        yield text[at:] if at else text
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; their new words are tokenized together."""
+        parts = [(i, part, None if self.unsafe.search(part) else part.split(" ")) for i, t in enumerate(texts) for part in self._parts(t)]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known = self.known
+        new = list({w for _, _, words in parts if words for w in words if w not in known})
+        known.update(zip(new, self._encode([" " + w for w in new]), strict=True))
+        # The first word of a part has no blank before it.
+        firsts = iter(self._encode([words[0] if words else part for _, part, words in parts]))
+        out: list[list[bytes]] = [[] for _ in texts]
+        for i, _, words in parts:
+            out[i].append(next(firsts))
+            if words:
+                out[i].extend(map(known.__getitem__, words[1:]))
+        return [b"".join(x) for x in out]
+
+    def __call__(self, text: str) -> bytes:
+        return self.batch([text])[0]
 
 
 _ids: dict[str, Ids] = {}
@@ -201,9 +212,19 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: tuple[int, int, int]
                 names.append("ids")
             return pa.RecordBatch.from_arrays(columns, names)
 
+        def encoded(b: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+            texts, size = [], 0
+            doc_ids, all_texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            for i, text in enumerate(all_texts):
+                texts.append(text or "")
+                size += len(texts[-1])
+                if len(texts) >= TEXTS or size >= CHARACTERS or i + 1 == len(all_texts):
+                    for k, ids in enumerate(encode.batch(texts)):
+                        yield doc_ids[i + 1 - len(texts) + k], ids + last
+                    texts, size = [], 0
+
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = encode(text) + last if text else last
+            for doc_id, ids in encoded(b):
                 n = len(ids) // 4
                 # A full sequence has one segment and as many tokens as the limit; the tail waits for others.
                 full = n // size if limits[2] >= size - 1 else 0
