@@ -1,4 +1,441 @@
-"""All queries of the library over the shared test tables, with their SQL."""
+"""All queries of the library over the shared test tables, with their SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+The order tables stand in for extracted orders: ``lineitem`` for lines, ``orders`` for printed totals, ``part`` for the product list,
+``customer`` and ``supplier`` for parties, ``conversations`` for revisions, ``events`` for logs and queues.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import evaluation, history, hypotheses, pages, parties, references, spatial, validation
+from ..sources import readers
+from ..streaming import feedback
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem as order lines; the unit price is the extended price without its discount."""
+    item = table(spark, sf, "lineitem")
+    price = F.col("l_extendedprice") * (1 - F.col("l_discount")) / F.col("l_quantity")
+    return item.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ix"), F.col("l_linenumber").alias("line_number"), F.col("l_partkey").alias("material"), F.col("l_quantity").alias("quantity"), price.alias("unit_price"), F.col("l_extendedprice").alias("line_total"))
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("total"))
+
+
+_LINES = "SELECT l_orderkey AS doc_id, l_linenumber AS ix, l_partkey AS material, l_quantity AS quantity, l_extendedprice * (1 - l_discount) / l_quantity AS unit_price, l_extendedprice AS line_total FROM lineitem"
+_DOCS = "SELECT o_orderkey AS doc_id, o_totalprice AS total FROM orders"
+
+
+def _close(a: str, b: str) -> str:
+    return f"abs({a} - {b}) <= greatest(0.03, 0.005 * greatest(abs({a}), abs({b}), 1))"
+
+
+_CHECKED = f"SELECT *, CASE WHEN quantity IS NOT NULL AND unit_price IS NOT NULL AND line_total IS NOT NULL THEN CASE WHEN {_close('quantity * unit_price', 'line_total')} THEN 'VALID' ELSE 'INVALID' END END AS status FROM ({_LINES})"
+
+
+@query(f"SELECT doc_id, ix, quantity, unit_price, line_total, status FROM ({_CHECKED})")
+def line_arithmetic_check(spark, sf):
+    return validation.check_lines(lines(spark, sf)).select("doc_id", "ix", "quantity", "unit_price", "line_total", "status")
+
+
+@query(f"""WITH s AS (SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(line_total AS DECIMAL(18,2))) AS DOUBLE) AS product_sum FROM ({_LINES}) GROUP BY doc_id)
+SELECT s.doc_id, n_lines, product_sum, total, CASE WHEN total IS NULL THEN 'computed_only' WHEN {_close('product_sum', 'total')} THEN 'match' ELSE 'mismatch' END AS line_sum_status FROM s JOIN ({_DOCS}) USING (doc_id)""")
+def order_line_sum_reconciliation(spark, sf):
+    return validation.line_sums(lines(spark, sf), documents(spark, sf))
+
+
+@query(f"""WITH s AS (SELECT doc_id, count(*) AS n_lines, count(status) AS checked, count(*) FILTER (status = 'VALID') AS valid, CAST(sum(CAST(line_total AS DECIMAL(18,2))) AS DOUBLE) AS product_sum FROM ({_CHECKED}) GROUP BY doc_id)
+SELECT doc_id, n_lines, checked, valid, valid / greatest(1, checked) AS valid_ratio, product_sum,
+CASE WHEN NOT ({_close('product_sum', 'total')}) THEN 'FAIL' WHEN checked > valid THEN 'WARNING' ELSE 'PASS' END AS status FROM s JOIN ({_DOCS}) USING (doc_id)""")
+def order_validation_status(spark, sf):
+    return validation.validate_orders(lines(spark, sf), documents(spark, sf))
+
+
+@query(f"SELECT doc_id, count(*) AS duplicate_signatures FROM (SELECT doc_id, material, quantity FROM ({_LINES}) GROUP BY ALL HAVING count(*) > 1) GROUP BY doc_id")
+def duplicate_line_signatures(spark, sf):
+    return validation.duplicate_signatures(lines(spark, sf), ["material", "quantity"])
+
+
+@query("""WITH x AS (SELECT l_orderkey AS doc_id, l_linenumber AS a, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS b FROM lineitem)
+SELECT doc_id, count(*) AS n_numbers, count(*) FILTER (b <= a) = 0 AS increasing FROM x GROUP BY doc_id HAVING count(*) > 1""")
+def line_number_sequence(spark, sf):
+    return validation.number_sequence(lines(spark, sf))
+
+
+@query(f"""SELECT doc_id, 'LINE_ARITHMETIC' AS code, 'ERROR' AS severity, 'lines[' || ix || ']' AS path FROM ({_LINES}) WHERE abs(quantity * unit_price - line_total) > greatest(0.03, abs(quantity) * 0.005 + 0.005)
+UNION ALL SELECT doc_id, 'QUANTITY_MISSING', 'WARN', 'lines[' || ix || ']' FROM ({_LINES}) WHERE quantity IS NULL
+UNION ALL SELECT doc_id, 'PRICE_MISSING', 'WARN', 'lines[' || ix || ']' FROM ({_LINES}) WHERE unit_price IS NULL""")
+def auditor_line_issues(spark, sf):
+    return validation.audit_lines(lines(spark, sf).withColumns({"net_unit_price": F.lit(None).cast("double"), "price_unit": F.lit(None).cast("double")}))
+
+
+@query(f"""SELECT doc_id, ['LINE_ARITHMETIC'] AS reasons, count(DISTINCT ix) AS n_issues, 'HUMAN_REVIEW' AS decision FROM ({_LINES})
+WHERE abs(quantity * unit_price - line_total) > greatest(0.03, abs(quantity) * 0.005 + 0.005) GROUP BY doc_id""")
+def extraction_gate(spark, sf):
+    return validation.gate(auditor_line_issues(spark, sf))
+
+
+@query("SELECT l_orderkey AS doc_id, avg(CASE WHEN l_quantity IS NULL THEN 0.0 ELSE 1.0 END) AS quantity_ratio, avg(CASE WHEN nullif(l_tax, 0) IS NULL THEN 0.0 ELSE 1.0 END) AS tax_ratio FROM lineitem GROUP BY 1")
+def line_completeness_ratios(spark, sf):
+    item = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_quantity").alias("quantity"), F.nullif("l_tax", F.lit(0.0)).alias("tax"))
+    return validation.completeness(item, ["quantity", "tax"])
+
+
+@query("SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber, l_shipdate, l_extendedprice) = 1")
+def line_dedupe_keep_first(spark, sf):
+    item = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
+    return validation.keep_first(item, ["l_suppkey", "l_partkey"], ["l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice"]).drop("l_shipdate", "l_extendedprice")
+
+
+@query(r"SELECT l_orderkey AS doc_id, l_linenumber AS ix, CASE WHEN regexp_matches(lower(p_name), '\b(ring|bolt)\b') THEN 'charge' ELSE 'product' END AS kind FROM lineitem JOIN part ON p_partkey = l_partkey")
+def charge_separation(spark, sf):
+    named = lines(spark, sf).join(table(spark, sf, "part").select(F.col("p_partkey").alias("material"), F.col("p_name").alias("description")), "material")
+    return validation.separate_charges(named, ["ring", "bolt"]).select("doc_id", "ix", "kind")
+
+
+def _readings(spark, sf):
+    """Three readings of each order's lines: all; those without a tax as a native table; quantities off by one by position."""
+    base = lines(spark, sf).join(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ix"), "l_tax").groupBy("doc_id", "ix").agg(F.max("l_tax").alias("tax")), ["doc_id", "ix"])
+    a = base.withColumn("hyp", F.lit("current"))
+    b = base.where("tax > 0.02").withColumn("hyp", F.lit("native_table"))
+    c = base.withColumns({"hyp": F.lit("geometry"), "quantity": F.col("quantity") + 1})
+    return a.unionByName(b).unionByName(c)
+
+
+_READ = f"""WITH base AS (SELECT b.*, tax FROM ({_LINES}) b JOIN (SELECT l_orderkey AS doc_id, l_linenumber AS ix, max(l_tax) AS tax FROM lineitem GROUP BY ALL) USING (doc_id, ix)),
+r AS (SELECT *, 'current' AS hyp FROM base UNION ALL SELECT *, 'native_table' FROM base WHERE tax > 0.02 UNION ALL SELECT * REPLACE (quantity + 1 AS quantity), 'geometry' FROM base),
+p AS (SELECT doc_id, hyp, count(*) AS n, count(*) FILTER (quantity * unit_price IS NOT NULL AND line_total IS NOT NULL) AS checked,
+ count(*) FILTER (abs(quantity * unit_price - line_total) <= greatest(0.04, 0.006 * abs(line_total))) AS good, count(line_total) AS with_amount,
+ coalesce(CAST(sum(CAST(line_total AS DECIMAL(18,2))) AS DOUBLE), 0) AS total, avg(((quantity IS NOT NULL)::INT + (unit_price IS NOT NULL)::INT + (line_total IS NOT NULL)::INT) / 3) AS complete FROM r GROUP BY ALL),
+q AS (SELECT p.*, d.total AS target, n / max(n) OVER (PARTITION BY doc_id) AS coverage FROM p LEFT JOIN ({_DOCS}) d USING (doc_id)),
+f AS (SELECT *, CASE WHEN checked > 0 THEN good / checked ELSE 0.55::DOUBLE END AS arith,
+ CASE WHEN target > 0 AND with_amount / n >= 0.8 THEN with_amount / n * CASE WHEN {_close('total', 'target')} THEN 0.42::DOUBLE WHEN total >= 0 AND total < target THEN -0.38::DOUBLE * (1 - total / target) ELSE -least(0.38::DOUBLE, 0.24::DOUBLE * abs(total - target) / greatest(abs(target), 1.0)) END ELSE 0.0::DOUBLE END AS total_fit FROM q),
+s AS (SELECT doc_id, hyp, n, arith, complete, total_fit, 0.34::DOUBLE * arith + 0.24::DOUBLE * complete + CASE hyp WHEN 'native_table' THEN 0.18::DOUBLE WHEN 'geometry' THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END + total_fit + 0.08::DOUBLE * coverage AS score FROM f)"""
+
+
+@query(_READ + " SELECT doc_id, hyp, n, round(arith, 6) AS arith, round(complete, 6) AS complete, round(total_fit, 6) AS total_fit, round(score, 6) AS score FROM s")
+def hypothesis_scores(spark, sf):
+    out = hypotheses.score(_readings(spark, sf), documents(spark, sf).withColumnRenamed("total", "target"))
+    return out.select("doc_id", "hyp", "n", *(F.round(c, 6).alias(c) for c in ("arith", "complete", "total_fit", "score")))
+
+
+@query(_READ + " SELECT doc_id, hyp, n, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, n DESC, hyp) = 1")
+def hypothesis_winner(spark, sf):
+    best = hypotheses.winner(hypotheses.score(_readings(spark, sf), documents(spark, sf).withColumnRenamed("total", "target")))
+    return best.select("doc_id", "hyp", "n", F.round("score", 6).alias("score"))
+
+
+def _refs(spark, sf):
+    return table(spark, sf, "part").select(F.concat(F.col("p_brand"), F.lit("-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("ref"))
+
+
+_SHAPES = """WITH k AS (SELECT DISTINCT regexp_replace(upper(p_brand || '-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0')), '[^A-Z0-9]', '', 'g') AS key FROM part),
+sh AS (SELECT key, CAST(length(key) AS VARCHAR) AS length, CASE WHEN regexp_matches(key, '^[0-9]+$') THEN 'numeric' WHEN regexp_matches(key, '^[A-Z]+$') THEN 'alpha' ELSE 'mixed' END AS nature,
+ array_to_string(list_transform(regexp_extract_all(key, '[A-Z]+|[0-9]+'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN 'D' ELSE 'A' END || length(r)), '-') AS signature FROM k WHERE key <> ''),
+long AS (SELECT key, unnest([{kind: 'length', value: length, w: 0.14::DOUBLE, s: 200}, {kind: 'nature', value: nature, w: 0.06::DOUBLE, s: 200}, {kind: 'length_nature', value: length || ':' || nature, w: 0.12::DOUBLE, s: 150}, {kind: 'signature', value: signature, w: 0.18::DOUBLE, s: 100},
+ {kind: 'p1', value: key[1:1] || '@' || length, w: 0.05::DOUBLE, s: 150}, {kind: 'p2', value: key[1:2] || '@' || length, w: 0.18::DOUBLE, s: 100}, {kind: 'p3', value: key[1:3] || '@' || length, w: 0.19::DOUBLE, s: 30}], recursive := true) FROM sh),
+c AS (SELECT kind, value, count(*) AS n FROM long GROUP BY ALL HAVING count(*) >= 2 OR kind NOT IN ('p1', 'p2', 'p3'))"""
+
+
+@query(_SHAPES + " SELECT kind, value, n FROM c")
+def reference_profile_counts(spark, sf):
+    return references.profile(_refs(spark, sf))
+
+
+@query(_SHAPES + """ SELECT key, round(CASE WHEN ok THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END + t, 6) AS score, ok AND round(CASE WHEN ok THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END + t, 6) >= 0.74 AS supported
+FROM (SELECT key, sum(w * least(1.0::DOUBLE, ln(1 + coalesce(n, 0)) / ln(1 + s))) AS t, regexp_matches(key, '[0-9]') AND length(key) BETWEEN 4 AND 30 AND (NOT regexp_matches(key, '^[0-9]+$') OR length(key) >= 7) AS ok FROM long LEFT JOIN c USING (kind, value) GROUP BY key)""")
+def reference_shape_score(spark, sf):
+    refs = _refs(spark, sf)
+    return references.score(refs, references.profile(refs))
+
+
+@query(_SHAPES + " SELECT key, length, nature, signature FROM sh")
+def structural_shapes(spark, sf):
+    return references.shapes(_refs(spark, sf)).select("key", "length", "nature", "signature")
+
+
+@query("SELECT n_name AS nation, arg_min(c_mktsegment, c_custkey) AS c_mktsegment, arg_min(nullif(c_acctbal, 0), c_custkey) FILTER (c_acctbal <> 0) AS balance FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+def party_first_non_null(spark, sf):
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("n_name").alias("nation"), "c_custkey", "c_mktsegment", F.nullif("c_acctbal", F.lit(0.0)).alias("balance"))
+    return parties.first_non_null(rows, ["nation"], "c_custkey", ["c_mktsegment", "balance"])
+
+
+@query("""SELECT fingerprint, list_sort(list(DISTINCT role)) AS roles, count(*) AS n FROM (SELECT sha256(lower(n_name) || '|' || r_name) AS fingerprint, role FROM
+(SELECT c_nationkey AS k, 'bill_to' AS role FROM customer UNION ALL SELECT s_nationkey, 'supplier' FROM supplier) JOIN nation ON n_nationkey = k JOIN region ON r_regionkey = n_regionkey) GROUP BY 1 HAVING count(DISTINCT role) > 1""")
+def shared_address_roles(spark, sf):
+    both = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.lit("bill_to").alias("role")).unionByName(table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), F.lit("supplier").alias("role")))
+    places = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return parties.shared_roles(both.join(places, F.col("n_nationkey") == F.col("k")).select("role", F.sha2(F.concat(F.lower("n_name"), F.lit("|"), "r_name"), 256).alias("fingerprint")))
+
+
+def _keyed(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), parties.address_key(F.lpad((F.col("c_custkey") % 300).cast("string"), 4, "0"), F.col("c_nationkey").cast("string")).alias("key"))
+    s = table(spark, sf, "supplier").select(parties.address_key(F.lpad((F.col("s_suppkey") % 300).cast("string"), 4, "0"), F.col("s_nationkey").cast("string")).alias("key"))
+    return c, s
+
+
+_KEYED = "(SELECT lpad(CAST(s_suppkey % 300 AS VARCHAR), 4, '0') || '|' || s_nationkey FROM supplier)"
+
+
+@query(f"SELECT c_custkey AS id FROM customer WHERE lpad(CAST(c_custkey % 300 AS VARCHAR), 4, '0') || '|' || c_nationkey IN {_KEYED}")
+def address_key_semi_join(spark, sf):
+    return parties.matches(*_keyed(spark, sf), exact=True).select("id")
+
+
+@query(f"SELECT c_custkey AS id FROM customer WHERE lpad(CAST(c_custkey % 300 AS VARCHAR), 4, '0') || '|' || c_nationkey NOT IN {_KEYED}")
+def address_key_anti_join(spark, sf):
+    return parties.matches(*_keyed(spark, sf), exact=False).select("id")
+
+
+@query("""WITH p AS (SELECT c_custkey AS id, c_name AS name, s_name AS known, CASE WHEN greatest(length(c_name), length(s_name)) = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(c_name, s_name)::DOUBLE / greatest(length(c_name), length(s_name)) END AS score
+ FROM (SELECT c_custkey, c_nationkey, replace(c_name, 'Customer', 'Supplier') AS c_name FROM customer) JOIN supplier ON s_nationkey = c_nationkey),
+r AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second FROM p WINDOW w AS (PARTITION BY id ORDER BY score DESC, known))
+SELECT id, name, CASE WHEN ok THEN known END AS known, score, CASE WHEN ok THEN 'MATCH' ELSE 'NOT_FOUND' END AS verdict FROM (SELECT *, score = 1 OR (score >= 0.92 AND score - coalesce(second, 0) >= 0.04) AS ok FROM r WHERE n = 1)""")
+def fuzzy_top2_margin(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.regexp_replace("c_name", "Customer", "Supplier").alias("name"), F.col("c_nationkey").alias("nation"))
+    return parties.close_match(c, table(spark, sf, "supplier").select(F.col("s_name").alias("known"), F.col("s_nationkey").alias("nation")), "nation")
+
+
+@query(f"SELECT doc_id, sha256(trim(regexp_replace(translate(lower(coalesce(text, '')), '{T.ACCENTED}', '{T.PLAIN}'), '[^a-z0-9]+', ' ', 'g'))) AS folded_sha256 FROM documents")
+def text_fold(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(T.fold(F.col("text")), 256).alias("folded_sha256"))
+
+
+def _entity_sql(kind: str) -> str:
+    p = pages.ENTITIES[kind].replace("'", "''")
+    return f"SELECT doc_id, '{kind}' AS kind, value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents) GROUP BY ALL"
+
+
+def _entity(kind: str):
+    def run(spark, sf):
+        return pages.entities(table(spark, sf, "documents"), {kind: pages.ENTITIES[kind]})
+
+    run.__name__ = f"entity_{kind}"
+    return query(_entity_sql(kind))(run)
+
+
+for _kind in pages.ENTITIES:
+    _entity(_kind)
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ix FROM documents)
+SELECT doc_id, CAST(ix AS INT) AS ix, regexp_extract(line, '^\s*([A-Za-z][A-Za-z0-9 _-]{0,40}?)\s*:\s+(\S.*?)\s*$', 1) AS label, regexp_extract(line, '^\s*([A-Za-z][A-Za-z0-9 _-]{0,40}?)\s*:\s+(\S.*?)\s*$', 2) AS value
+FROM l WHERE regexp_matches(line, '^\s*([A-Za-z][A-Za-z0-9 _-]{0,40}?)\s*:\s+(\S.*?)\s*$')""")
+def key_values(spark, sf):
+    return pages.key_values(table(spark, sf, "documents"))
+
+
+_LANG = "WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-zà-ÿ]+', ' ', 'g')), ' ') AS w FROM documents), h AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS language, len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in v)}))) AS hits FROM w" for k, v in pages.VOCABULARY.items()) + ")"
+
+
+@query(_LANG + " SELECT doc_id, language, CAST(hits AS INT) AS hits FROM h")
+def language_vocabulary(spark, sf):
+    return pages.language_scores(table(spark, sf, "documents"))
+
+
+@query(_LANG + " SELECT doc_id, CASE WHEN hits > 0 AND hits > second THEN language END AS language, CAST(hits AS INT) AS hits FROM (SELECT *, lead(hits) OVER w AS second, row_number() OVER w AS n FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY hits DESC, language)) WHERE n = 1")
+def language_best(spark, sf):
+    return pages.best_language(pages.language_scores(table(spark, sf, "documents")))
+
+
+def _kinds_sql() -> str:
+    one = lambda k, terms: f"SELECT doc_id, '{k}' AS kind, " + " + ".join(f"{w}::DOUBLE * least((length(t) - length(replace(t, '{x}', ''))) / {len(x)}, 5.0)" for x, w in terms) + " AS score FROM d"
+    return "WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), s AS (SELECT * FROM (" + " UNION ALL ".join(one(k, t) for k, t in pages.KINDS.items()) + ") WHERE score > 0)"
+
+
+@query(_kinds_sql() + " SELECT doc_id, kind, score FROM s")
+def page_type_scores(spark, sf):
+    return pages.kind_scores(table(spark, sf, "documents"))
+
+
+@query(_kinds_sql() + """ SELECT doc_id, CASE WHEN score < 1.5 THEN 'generic' ELSE kind END AS kind,
+round(CASE WHEN score < 1.5 THEN 0.45::DOUBLE ELSE greatest(0.35::DOUBLE, least(0.995::DOUBLE, 0.62::DOUBLE * least(1, score / 10) + 0.38::DOUBLE * greatest(0, least(1, (score - second) / greatest(score, 1))))) END, 4) AS confidence
+FROM (SELECT *, coalesce(lead(score) OVER w, 0) AS second, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, kind)) WHERE n = 1""")
+def document_type(spark, sf):
+    return pages.page_kind(pages.kind_scores(table(spark, sf, "documents")))
+
+
+@query("""WITH c AS (SELECT conv_id AS doc_id, turn AS page, role AS kind, CASE WHEN role <> lag(role) OVER w OR turn - lag(turn) OVER w > 1 OR lag(role) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY page) AS BIGINT) AS run FROM c)
+SELECT doc_id, run, kind, min(page) AS first_page, max(page) AS last_page, count(*) AS n FROM r GROUP BY doc_id, run, kind""")
+def continuation_islands(spark, sf):
+    return pages.continuation(table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.col("role").alias("kind")))
+
+
+@query("SELECT sha256(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+def exact_content_dedup(spark, sf):
+    return table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("SELECT doc_id, CASE WHEN u < 0.15 THEN 'test' WHEN u < 0.3 THEN 'validation' ELSE 'train' END AS split FROM (SELECT doc_id, ('0x' || substr(sha256('v1:' || doc_id), 1, 8))::BIGINT / 4294967296 AS u FROM documents)")
+def hash_split(spark, sf):
+    return evaluation.hash_split(table(spark, sf, "documents"))
+
+
+@query("""WITH o AS (SELECT source, sha256(text) AS d, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2)
+SELECT source, doc_id, CAST(rank AS INT) AS rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256(CAST(doc_id AS VARCHAR))) AS rank FROM o) WHERE rank <= 5""")
+def stratified_sample(spark, sf):
+    return evaluation.stratified(table(spark, sf, "documents"), "source", 5)
+
+
+@query()
+def html_blocks(spark, sf):
+    return readers.html_blocks(table(spark, sf, "pages"))
+
+
+@query()
+def html_tables(spark, sf):
+    return readers.html_tables(table(spark, sf, "pages"))
+
+
+@query("SELECT event_id, unnest(json_keys(props)) AS path, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events")
+def json_flatten(spark, sf):
+    return readers.json_paths(table(spark, sf, "events"), "event_id", "props")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")
+def latest_revision(spark, sf):
+    return history.latest_revision(table(spark, sf, "conversations"), "conv_id", "turn")
+
+
+@query("SELECT conv_id, min(turn) AS first, max(turn) AS last, count(DISTINCT turn) AS n, min(turn) = 0 AND max(turn) + 1 = count(DISTINCT turn) AS contiguous FROM conversations GROUP BY 1")
+def revision_gap_check(spark, sf):
+    return history.revision_gaps(table(spark, sf, "conversations"), "conv_id", "turn")
+
+
+@query("SELECT user_id, event_type, min(ts) AS ts, arg_min(event_id, ts) AS event_id FROM events GROUP BY 1, 2")
+def audit_first_events(spark, sf):
+    return history.first_seen(table(spark, sf, "events"), ["user_id", "event_type"], ["ts", "event_id"])
+
+
+@query("SELECT event_type, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1")
+def status_counts(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+@query("SELECT event_type, event_id, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS place FROM events) WHERE place <= 10")
+def fifo_claim(spark, sf):
+    return history.claim(table(spark, sf, "events"), "event_type", 10, ["ts", "event_id"]).select("event_type", "event_id", "place")
+
+
+@query("SELECT event_id, CASE WHEN epoch(TIMESTAMP '2024-01-15 00:00:00') - floor(epoch(ts)) > 86400 THEN 'queued' ELSE 'running' END AS state FROM events")
+def stale_recovery(spark, sf):
+    return history.stale(table(spark, sf, "events"), "2024-01-15 00:00:00", 24 * 60).select("event_id", "state")
+
+
+@query("SELECT user_id, count(*) AS n, count(DISTINCT md5(event_type)) AS digests, CASE WHEN count(DISTINCT event_type) > 1 THEN 'REJECTED' WHEN count(*) > 1 THEN 'DUPLICATE_IGNORED' ELSE 'ACCEPTED' END AS verdict FROM events GROUP BY 1")
+def feedback_idempotent_dedup(spark, sf):
+    return history.conflicts(table(spark, sf, "events").withColumn("digest", F.md5("event_type")), "user_id", "digest")
+
+
+def _pairs(spark, sf):
+    d, lab = table(spark, sf, "documents").select("doc_id", "n_chars"), table(spark, sf, "labels")
+    return d.join(lab, "doc_id").select(F.concat(F.lit("q"), "quality").alias("truth"), F.when(F.col("n_chars") > 600, "q1").otherwise("q0").alias("prediction"))
+
+
+_REPORT = """WITH p AS (SELECT 'q' || quality AS truth, CASE WHEN n_chars > 600 THEN 'q1' ELSE 'q0' END AS prediction FROM documents JOIN labels USING (doc_id)),
+x AS (SELECT truth AS label, 1 AS t, 0 AS p, (truth = prediction)::INT AS hit FROM p UNION ALL SELECT prediction, 0, 1, 0 FROM p),
+s AS (SELECT label, CAST(sum(t) AS BIGINT) AS support, sum(p) AS predicted, sum(hit) AS hits FROM x GROUP BY 1),
+r AS (SELECT label, support, hits / predicted AS precision, hits / support AS recall, 2.0::DOUBLE * hits / (predicted + support) AS f1 FROM s)"""
+
+
+@query(_REPORT + " SELECT label, support, precision, recall, f1 FROM r")
+def classification_report(spark, sf):
+    return evaluation.classification(_pairs(spark, sf))
+
+
+@query(_REPORT + " SELECT round(avg(f1), 9) AS macro_f1, count(*) AS labels FROM r WHERE support > 0")
+def macro_f1(spark, sf):
+    return evaluation.macro(evaluation.classification(_pairs(spark, sf)))
+
+
+@query("""WITH a AS (SELECT item_id AS id, lower(text) AS r FROM benchmark), p AS (SELECT item_id - 1 AS id, lower(text) AS p FROM benchmark),
+j AS (SELECT a.id, p.p, a.r FROM a JOIN p USING (id)),
+wp AS (SELECT id, unnest(string_split(trim(regexp_replace(p, '[^a-z0-9]+', ' ', 'g')), ' ')) AS w, 1 AS p, 0 AS r FROM j UNION ALL SELECT id, unnest(string_split(trim(regexp_replace(r, '[^a-z0-9]+', ' ', 'g')), ' ')), 0, 1 FROM j),
+g AS (SELECT id, w, sum(p) AS p, sum(r) AS r FROM wp WHERE w <> '' GROUP BY 1, 2)
+SELECT id, 2.0::DOUBLE * sum(least(p, r)) / (sum(p) + sum(r)) AS f1 FROM g GROUP BY 1""")
+def token_f1(spark, sf):
+    b = table(spark, sf, "benchmark")
+    pairs = b.select(F.col("item_id").alias("id"), F.col("text").alias("reference")).join(b.select((F.col("item_id") - 1).alias("id"), F.col("text").alias("prediction")), "id")
+    return evaluation.token_f1(pairs)
+
+
+@query("""WITH a AS (SELECT doc_id AS key, md5(text) AS old FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id AS key, CASE WHEN doc_id % 5 = 0 THEN md5(lower(text)) ELSE md5(text) END AS new FROM documents WHERE doc_id % 11 <> 0)
+SELECT key, old, new, CASE WHEN old IS NULL THEN 'ADDED' WHEN new IS NULL THEN 'REMOVED' WHEN old = new THEN 'SAME' ELSE 'CHANGED' END AS verdict FROM a FULL JOIN b USING (key)""")
+def run_diff_verdicts(spark, sf):
+    d = table(spark, sf, "documents")
+    before = d.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("key"), F.md5("text").alias("value"))
+    after = d.where("doc_id % 11 <> 0").select(F.col("doc_id").alias("key"), F.md5(F.when(F.col("doc_id") % 5 == 0, F.lower("text")).otherwise(F.col("text"))).alias("value"))
+    return evaluation.run_diff(before, after)
+
+
+@query("""WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+SELECT label, CAST(i - 1 AS INT) AS dim, round(avg(x), 6) AS mean FROM u GROUP BY ALL""")
+def embedding_zone_centroids(spark, sf):
+    return table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def source_support_check(spark, sf):
+    # The benchmark is a fixed list of passages: the nested loop runs over its broadcast rows only.
+    return table(spark, sf, "documents").join(F.broadcast(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))), F.contains(F.col("text"), F.col("passage"))).select("doc_id", "item_id")
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN s IS NULL THEN 'MODEL_ONLY_REVIEW' WHEN s = o_orderdate THEN 'SOURCE_MATCH' WHEN s < o_orderdate THEN 'DATE_MISMATCH' ELSE 'PARTIAL_MATCH' END AS status
+FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def date_status(spark, sf):
+    first = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("s"))
+    j = table(spark, sf, "orders").select("o_orderkey", "o_orderdate").join(first, "o_orderkey", "left")
+    state = F.when(F.col("s").isNull(), "MODEL_ONLY_REVIEW").when(F.col("s") == F.col("o_orderdate"), "SOURCE_MATCH").when(F.col("s") < F.col("o_orderdate"), "DATE_MISMATCH").otherwise("PARTIAL_MATCH")
+    return j.select(F.col("o_orderkey").alias("doc_id"), state.alias("status"))
+
+
+@query()
+def row_clustering(spark, sf):
+    """Words of a fixed page: two baselines and an accent between them."""
+    rows = [("d", 1, i, w, x, y, x + 20.0, y + 10.0) for i, (w, x, y) in enumerate([("Article", 30.0, 300.0), ("Qte", 105.0, 301.0), ("Prix", 335.0, 299.5), ("A12", 30.0, 320.0), ("2", 105.0, 320.5)])]
+    return spatial.rows_of_words(spark.createDataFrame(rows, "doc_id string, page int, ix int, text string, x0 double, y0 double, x1 double, y1 double"))
+
+
+@query()
+def box_iou_pairs(spark, sf):
+    rows = [("d", "cell", "pred", 0, 0.0, 0.0, 10.0, 10.0), ("d", "cell", "truth", 0, 1.0, 1.0, 9.0, 9.0), ("d", "cell", "truth", 1, 50.0, 50.0, 60.0, 60.0)]
+    return spatial.match_boxes(spark.createDataFrame(rows, "doc_id string, type string, side string, ix long, x0 double, y0 double, x1 double, y1 double"))
+
+
+@query()
+def translation_consensus(spark, sf):
+    rows = [("d", 5.0, 1.0), ("d", 6.0, 1.0), ("d", 5.5, 2.0), ("d", 90.0, 0.0)]
+    return spatial.translation(spark.createDataFrame(rows, "doc_id string, dx double, dy double"))
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def streaming_feedback_dedup(spark, sf):
+    """The events as a stream, each user's first event accepted within the watermark."""
+    source = table(spark, sf, "events")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = stream.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return feedback.run_once(feedback.accepted_once(stream, "user_id", "ts", "3650 days"), "feedback").select("user_id")

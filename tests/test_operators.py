@@ -1,0 +1,60 @@
+"""Operators on the small fixtures that fix their semantics."""
+
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import text
+from ledgerloom.functions.money import close
+from ledgerloom.operators import evaluation, hypotheses, pages, spatial, validation
+from ledgerloom.sources import readers
+
+
+def test_close_tolerances(spark):
+    rows = spark.createDataFrame([(10.0, 10.03), (10.0, 10.06), (1000.0, 1004.9), (None, 1.0)], "a double, b double")
+    assert [r[0] for r in rows.select(close(F.col("a"), F.col("b"))).collect()] == [True, False, True, None]
+
+
+def test_signatures(spark):
+    rows = spark.createDataFrame([("8750772763T03",), (" T00432214A ",), ("8716 860 570",)], "r string").select(text.signature(text.reference_key(F.col("r"))))
+    assert [r[0] for r in rows.collect()] == ["D10-A1-D2", "A1-D8-A1", "D10"]
+
+
+def test_line_check_needs_all_three(spark):
+    rows = spark.createDataFrame([(1, 2.0, 10.0, 20.0), (1, 2.0, 10.0, 21.0), (1, None, 1.0, 1.0)], "doc_id long, quantity double, unit_price double, line_total double")
+    assert [r["status"] for r in validation.check_lines(rows).collect()] == ["VALID", "INVALID", None]
+
+
+def test_price_for_a_hundred_is_no_error(spark):
+    rows = spark.createDataFrame([(1, 0, 200.0, 5.0, None, 100.0, 10.0), (1, 1, None, 5.0, None, None, 5.0)], "doc_id long, ix int, quantity double, unit_price double, net_unit_price double, price_unit double, line_total double")
+    assert [(r["code"], r["path"]) for r in validation.audit_lines(rows).collect()] == [("QUANTITY_MISSING", "lines[1]")]
+
+
+def test_complete_reading_beats_fragment(spark):
+    full = [("d", "current", 1.0, 10.0, 10.0)] * 19
+    part = [("d", "native_table", 1.0, 10.0, 10.0)] * 2
+    lines = spark.createDataFrame(full + part, "doc_id string, hyp string, quantity double, unit_price double, line_total double")
+    best = hypotheses.winner(hypotheses.score(lines, spark.createDataFrame([("d", 190.0)], "doc_id string, target double"))).first()
+    assert best["hyp"] == "current" and best["total_fit"] == 0.42
+
+
+def test_boxes(spark):
+    rows = [("d", "cell", "pred", 0, 0.0, 0.0, 10.0, 10.0), ("d", "cell", "truth", 0, 1.0, 1.0, 9.0, 9.0)]
+    out = spatial.match_boxes(spark.createDataFrame(rows, "doc_id string, type string, side string, ix long, x0 double, y0 double, x1 double, y1 double")).first()
+    assert round(out["iou"], 2) == 0.64
+
+
+def test_tie_gives_no_language(spark):
+    docs = spark.createDataFrame([(1, "the le"), (2, "the and le")], "doc_id long, text string")
+    assert {r["doc_id"]: r["language"] for r in pages.best_language(pages.language_scores(docs)).collect()} == {1: None, 2: "en"}
+
+
+def test_split_is_stable(spark):
+    a = evaluation.hash_split(spark.range(500).withColumnRenamed("id", "doc_id"))
+    b = evaluation.hash_split(spark.range(300).withColumnRenamed("id", "doc_id"))
+    assert set(b.collect()) <= set(a.collect())
+
+
+def test_html_tables(spark):
+    html = "<table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2 <b>x</b></td></tr></table><script>var t='<p>no</p>'</script><p>yes</p>"
+    page = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
+    assert [tuple(r)[1:] for r in readers.html_tables(page).collect()] == [(0, 0, 0, "A"), (0, 0, 1, "B"), (0, 1, 0, "1"), (0, 1, 1, "2 x")]
+    assert [r["text"] for r in readers.html_blocks(page).collect()] == ["yes"]
