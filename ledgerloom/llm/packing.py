@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import kept_by
+
 #: Tokens, segments and loss-bearing tokens that a sequence holds.
 LIMITS = (2048, 512, 2048)
 #: Pieces among which a sequence chooses.
@@ -92,14 +94,12 @@ class Ids:
         return self.batch([text])[0]
 
 
-_ids: dict[str, Ids] = {}
-
-
 def ids_of(path: str) -> Ids:
     """The worker's tokenizer, kept between tasks."""
-    if path not in _ids:
-        _ids[path] = Ids(path)
-    return _ids[path]
+    kept = kept_by("packing")
+    if path not in kept:
+        kept[path] = Ids(path)
+    return kept[path]
 
 
 class Packer:
@@ -214,11 +214,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: tuple[int, int, int]
 
         def encoded(b: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
             texts, size = [], 0
-            doc_ids, all_texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for i, text in enumerate(all_texts):
-                texts.append(text or "")
+            doc_ids, column = b.column("doc_id").to_pylist(), b.column("text")
+            for i in range(len(doc_ids)):
+                texts.append(column[i].as_py() or "")
                 size += len(texts[-1])
-                if len(texts) >= TEXTS or size >= CHARACTERS or i + 1 == len(all_texts):
+                if len(texts) >= TEXTS or size >= CHARACTERS or i + 1 == len(doc_ids):
                     for k, ids in enumerate(encode.batch(texts)):
                         yield doc_ids[i + 1 - len(texts) + k], ids + last
                     texts, size = [], 0

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import discard, materialise
+from .textkit import kept_by, slices
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: A cell with more fingerprints is linked through wildcard groups.
@@ -55,8 +56,9 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, seed: int = SEED) -> DataFra
     """(doc_id, fp): the fingerprint as a signed long with the same bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("simhash")
         for b in batches:
-            values = np.array([fingerprint(t or b"", k, seed) for t in b.column("text").to_pylist()], np.uint64)
+            values = np.array([fingerprint(t or b"", k, seed) for part in slices(b) for t in part.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -248,8 +250,9 @@ def with_fingerprint(docs: DataFrame, k: int = SHINGLE, seed: int = SEED) -> Dat
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("simhash")
         for b in batches:
-            values = np.array([fingerprint(t or b"", k, seed) for t in b.column("_text").to_pylist()], np.uint64)
+            values = np.array([fingerprint(t or b"", k, seed) for part in slices(b) for t in part.column("_text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("_id"), pa.array(values.view(np.int64))], ["_row", "_id", "_fp"])
 
     schema = rows.drop("_text").withColumn("_fp", F.lit(0).cast("long")).schema

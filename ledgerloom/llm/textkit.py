@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes that are hashed at once; a longer text is cut at white space, so memory doesn't grow with a text.
 CHUNK = 1 << 19
@@ -21,6 +22,26 @@ SEPARATOR = SPACE.copy()
 SEPARATOR[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 
 
+#: What the operator that a worker runs keeps between its tasks. Spark gives a worker to any stage, so another operator's goes first.
+_kept: dict[str, dict] = {}
+#: Rows whose texts are held as Python objects at once.
+ROWS = 500
+
+
+def kept_by(operator: str) -> dict:
+    """The operator's cache in this worker; those of other operators are dropped."""
+    for other in [name for name in _kept if name != operator]:
+        del _kept[other]
+        pa.default_memory_pool().release_unused()
+    return _kept.setdefault(operator, {})
+
+
+def slices(batch: pa.RecordBatch, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of so many rows."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64: every input bit reaches every output bit."""
     h = (h ^ (h >> np.uint64(30))) * _MIX[0]

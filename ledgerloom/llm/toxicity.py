@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import SEPARATOR, Words, chunks
+from .textkit import SEPARATOR, Words, chunks, kept_by, slices
 
 #: The most documents of either kind that are learnt from, and the features that are kept.
 POSITIVES, UNLABELLED, FEATURES = 4000, 8000, 2048
@@ -184,8 +184,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("toxicity")
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(model.scores(_texts(b)))], ["doc_id", "held_out", "score"])
+            for part in slices(b):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(model.scores(_texts(part)))], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("text"))
     scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
@@ -197,8 +199,9 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("toxicity")
         for b in batches:
-            stays = pa.array(model.scores(_texts(b)) < 0.5)
-            yield b.select(["_row"]).filter(stays)
+            for part in slices(b):
+                yield part.select(["_row"]).filter(pa.array(model.scores(_texts(part)) < 0.5))
 
     return rows.mapInArrow(run, rows.select("_row").schema).select("_row.*")
