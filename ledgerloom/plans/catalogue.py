@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import checksums
 from ..functions import text as T
 from ..operators import evaluation, history, hypotheses, pages, parties, references, spatial, validation
 from ..sources import readers
@@ -439,3 +440,26 @@ def streaming_feedback_dedup(spark, sf):
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     stream = stream.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     return feedback.run_once(feedback.accepted_once(stream, "user_id", "ts", "3650 days"), "feedback").select("user_id")
+
+
+_LUHN = "list_sum(list_transform(range(1, length({0}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {0}[length({0}) - i + 1]::INT ELSE 2 * {0}[length({0}) - i + 1]::INT - CASE WHEN {0}[length({0}) - i + 1]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+
+
+@query(f"""WITH x AS (SELECT c_custkey AS id, lpad((c_custkey * 7919 % 1000000000)::VARCHAR, 9, '0') AS siren FROM customer),
+v AS (SELECT *, 'FR' || lpad(((12 + 3 * (siren::BIGINT % 97)) % 97)::VARCHAR, 2, '0') || siren AS vat FROM x)
+SELECT id, siren, {_LUHN.format('siren')} AS registered, vat, id % 3 <> 0 AS vat_valid FROM v""")
+def party_identifier_checks(spark, sf):
+    """Registrations made of customer keys, their VAT numbers, and the check of those (every third with a wrong key)."""
+    siren = F.lpad((F.col("c_custkey") * 7919 % 1000000000).cast("string"), 9, "0")
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), siren.alias("siren")).withColumn("vat", checksums.vat_of(F.col("siren")))
+    wrong = F.concat(F.lit("FR99"), F.col("siren"))  # keys are below 97
+    shown = F.when(F.col("id") % 3 == 0, wrong).otherwise(F.col("vat"))
+    return rows.select("id", "siren", checksums.registration(F.col("siren")).alias("registered"), "vat", checksums.vat(shown).alias("vat_valid"))
+
+
+@query("SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
+def explicit_date_normalisation(spark, sf):
+    """Order dates printed day first with slashes or year first with points, and read again."""
+    date = F.col("o_orderdate")
+    printed = F.when(F.col("o_orderkey") % 2 == 0, F.date_format(date, "d/M/yyyy")).otherwise(F.date_format(date, "yyyy.MM.dd"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), checksums.iso_date(printed).alias("iso"))
