@@ -16,6 +16,7 @@ they come; an empty table gives no rows; a document of any length is cut; extra
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,33 +38,74 @@ LIMITS = (2048, 512, 2048)
 BLOCK = 2048
 #: Texts over so many characters are tokenized in parts, cut where no token can cross.
 PART = 1 << 20
-#: Words whose ids a worker remembers, before it begins anew; texts that are tokenized together, and their characters.
+#: Pieces of text whose ids a worker remembers, before it begins anew; texts that are tokenized together, and their characters.
 REMEMBERED = 800_000
-TEXTS, CHARACTERS = 500, 1 << 21
+TEXTS, CHARACTERS = 2000, 1 << 22
 END = 1
 
 
+#: Characters that some engine takes for white space, and a few more that are not seen.
+_BLANK = ((0x00, 0x20), (0x7F, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x206F), (0x3000, 0x3000), (0xFEFF, 0xFEFF))
+_BLANKS = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _BLANK)
+
+
 class Ids:
-    """Token ids of texts as little-endian unsigned 32-bit bytes; each distinct word is tokenized once.
+    """Token ids of texts as little-endian unsigned 32-bit bytes; each distinct piece of a batch is tokenized once.
 
-    A match of the byte-level pre-tokenizer never goes from a visible character to a blank, so a text can be
-    tokenized blank by blank, unless other white space stands before a blank; such texts are tokenized whole.
+    No match of the byte-level pre-tokenizer goes from a visible character on to white space. So a text is cut into
+    pieces before each blank or line feed that follows a visible character, and the pieces' ids joined are the text's.
+    The pieces are told apart by Arrow's dictionary encoding. New ones are tokenized many in a row, and their ids cut
+    where a token begins with a blank or line feed; those with other white space are tokenized one by one. A tokenizer of
+    another kind gets whole texts.
     """
 
-    #: Characters that some engine takes for white space, before a blank.
-    unsafe = re.compile("[\\s\\x00-\\x20\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff] ")
+    #: Two of them in a row, of which the second would begin a piece, for RE2.
+    double = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _BLANK) + "][ \n]"
+    begin = re.compile(f"(?<=[^{_BLANKS}])(?=[ \n])")
+    plain = re.compile(f"[ \n][^{_BLANKS}]+")
+    letters = re.compile(" [A-Za-z]+")
     joint = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
+    #: Stands before each piece; a text that holds it is a piece of its own.
+    MARK = "\x1f"
+    #: Pieces that are tokenized in a row.
+    ROW = 500
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.speller = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        settings = json.loads(self.tokenizer.to_str())
+        kind = settings["pre_tokenizer"] or {}
+        self.by_piece = settings["normalizer"] is None and kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind["add_prefix_space"]
+        # Words of ASCII letters need no cutting by the pre-tokenizer, only the byte-level sign of the blank.
+        self.speller.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token[0] in "\u0120\u010a"]] = True
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Adds the ids of new pieces to ``known``."""
+        words, others, single = [], [], []
+        for piece in pieces:
+            (words if self.letters.fullmatch(piece) else others if self.plain.fullmatch(piece) else single).append(piece)
+        for group, tokenizer, sign in ((words, self.speller, " \u0120"), (others, self.tokenizer, None)):
+            rows = [group[at : at + self.ROW] for at in range(0, len(group), self.ROW)]
+            joined = ["".join(row).replace(" ", sign)[1:] if sign else "".join(row) for row in rows]
+            for row, encoded in zip(rows, tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                ids = np.array(encoded.ids, "<u4")
+                at = (4 * np.flatnonzero(self.begins[ids])).tolist()
+                if len(at) == len(row):
+                    raw = ids.tobytes()
+                    self.known.update(zip(row, map(raw.__getitem__, map(slice, at, [*at[1:], len(raw)])), strict=True))
+                else:
+                    single.extend(row)
+        self.known.update(zip(single, self._encode(single), strict=True))
+
     def _parts(self, text: str) -> Iterator[str]:
         at = 0
         while len(text) - at > PART:
@@ -73,22 +116,45 @@ class Ids:
             at = m.start()
         yield text[at:] if at else text
 
+    def _pieces(self, texts: list[str]) -> pa.LargeListArray:
+        if not self.by_piece:
+            return pa.LargeListArray.from_arrays(pa.array(range(len(texts) + 1), pa.int64()), pa.array(texts, pa.large_string()))
+        mark = self.MARK
+        double = pc.match_substring_regex(pa.array(texts, pa.large_string()), self.double).to_pylist()
+        if any(mark in t for t in texts):
+            cut = [[t] if mark in t else (self.begin.sub(mark, t).split(mark)) for t in texts]
+            return pa.array(cut, pa.large_list(pa.large_string()))
+        marked = [self.begin.sub(mark, t) if d else t.replace(" ", mark + " ").replace("\n", mark + "\n") for t, d in zip(texts, double, strict=True)]
+        return pc.split_pattern(pa.array(marked, pa.large_string()), mark).cast(pa.large_list(pa.large_string()))
+
     def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; their new words are tokenized together."""
-        parts = [(i, part, None if self.unsafe.search(part) else part.split(" ")) for i, t in enumerate(texts) for part in self._parts(t)]
+        """The ids of each text."""
+        if not texts:
+            return []
+        parts, owner = [], []
+        for i, text in enumerate(texts):
+            for part in self._parts(text):
+                parts.append(part)
+                owner.append(i)
+        lists = self._pieces(parts)
+        coded = lists.values.dictionary_encode()
+        pieces, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        new = list({w for _, _, words in parts if words for w in words if w not in known})
-        known.update(zip(new, self._encode([" " + w for w in new]), strict=True))
-        # The first word of a part has no blank before it.
-        firsts = iter(self._encode([words[0] if words else part for _, part, words in parts]))
-        out: list[list[bytes]] = [[] for _ in texts]
-        for i, _, words in parts:
-            out[i].append(next(firsts))
-            if words:
-                out[i].extend(map(known.__getitem__, words[1:]))
-        return [b"".join(x) for x in out]
+        if new := [piece for piece in pieces if piece not in self.known]:
+            self._learn(new)
+        found = list(map(self.known.__getitem__, pieces))
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        begin = np.cumsum(sizes) - sizes
+        count = sizes[codes]
+        end = np.cumsum(count)
+        out = ids[np.arange(count.sum()) + np.repeat(begin[codes] - (end - count), count)]
+        # Where each part begins among the tokens, then each text.
+        edges = np.concatenate(([0], end))[lists.offsets.to_numpy()]
+        first = np.searchsorted(owner, np.arange(len(texts) + 1))
+        at = edges[first].tolist()
+        return [out[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def __call__(self, text: str) -> bytes:
         return self.batch([text])[0]
