@@ -29,3 +29,8 @@ def signature(key: Column) -> Column:
     """Run lengths of letters and digits: ``AB123C`` is ``A2-D3-A1``."""
     runs = F.regexp_extract_all(key, F.lit("[A-Z]+|[0-9]+"), 0)
     return F.array_join(F.transform(runs, lambda r: F.concat(F.when(r.rlike("^[0-9]"), "D").otherwise("A"), F.length(r).cast("string"))), "-")
+
+
+def digest(*columns: Column) -> Column:
+    """SHA-256 of the columns as JSON, keys in order, null fields left out."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256)

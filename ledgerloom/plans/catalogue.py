@@ -6,34 +6,18 @@ The order tables stand in for extracted orders: ``lineitem`` for lines, ``orders
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checksums
 from ..functions import text as T
-from ..operators import evaluation, history, hypotheses, pages, parties, references, spatial, validation
+from ..operators import evaluation, history, hypotheses, pages, parties, references, spatial, support, validation
 from ..sources import readers
 from ..streaming import feedback
+from . import scalars  # noqa: F401  (enters its queries)
+from .registry import ORACLE_SQL, QUERIES, query, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """lineitem as order lines; the unit price is the extended price without its discount."""
@@ -401,8 +385,7 @@ def embedding_zone_centroids(spark, sf):
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def source_support_check(spark, sf):
-    # The benchmark is a fixed list of passages: the nested loop runs over its broadcast rows only.
-    return table(spark, sf, "documents").join(F.broadcast(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))), F.contains(F.col("text"), F.col("passage"))).select("doc_id", "item_id")
+    return support.holds(table(spark, sf, "documents"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage")))
 
 
 @query("""SELECT o_orderkey AS doc_id, CASE WHEN s IS NULL THEN 'MODEL_ONLY_REVIEW' WHEN s = o_orderdate THEN 'SOURCE_MATCH' WHEN s < o_orderdate THEN 'DATE_MISMATCH' ELSE 'PARTIAL_MATCH' END AS status

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import text
+from ledgerloom.functions import addresses, identifiers, numbers, text
 from ledgerloom.functions.money import close
-from ledgerloom.operators import evaluation, hypotheses, pages, spatial, validation
+from ledgerloom.operators import evaluation, hypotheses, pages, spatial, support, validation
 from ledgerloom.sources import readers
 
 
@@ -58,3 +58,31 @@ def test_html_tables(spark):
     page = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
     assert [tuple(r)[1:] for r in readers.html_tables(page).collect()] == [(0, 0, 0, "A"), (0, 0, 1, "B"), (0, 1, 0, "1"), (0, 1, 1, "2 x")]
     assert [r["text"] for r in readers.html_blocks(page).collect()] == ["yes"]
+
+
+def test_passages_inside_words_and_short_ones(spark):
+    texts = ["one two three four five six seven", "xone two three\nfour five sixy", "one two", None, "", "two  three four five six one two three four five six", "ne two three four five si"]
+    passages = ["one two three four five six", "two", "ne two three four five si", None, "six seven eight nine ten eleven"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, passage string")
+    want = {(i, k) for i, t in enumerate(texts) for k, p in enumerate(passages) if t is not None and p is not None and p in t}
+    got = [tuple(r) for r in support.holds(docs, items).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_scalar_forms(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("x")).first()["x"]
+    assert [value(numbers.money(F.lit(t))) for t in ("1 234,50 €", "1.234,50", "1,234.50", "12", "", "n/a", "1-2")] == [1234.5, 1234.5, 1234.5, 12.0, None, None, None]
+    assert [value(numbers.accounting(F.lit(t))) for t in ("(1 234,50)", "-3", "1'000.5")] == [-1234.5, -3.0, 1000.5]
+    assert value(numbers.native_decimal(F.lit("244,49000"))) == 244.49
+    assert [tuple(value(numbers.split_sizes(F.lit(n).cast("long")))) for n in (0, 1, 2, 3, 10, 100)] == [(0, 0, 0), (1, 0, 0), (1, 1, 0), (1, 1, 1), (6, 2, 2), (70, 15, 15)]
+    assert [value(identifiers.reference(F.lit(t))) for t in ("8-703-406-153-0", "7733701936/LM", " 8716 860 570", "12-34", None)] == ["87034061530", "7733701936", "8716860570", "12-34", ""]
+    assert value(identifiers.party_code(F.lit("cliO12S"))) == "CLIO125" and value(identifiers.party_code(F.lit("a b"))) == "a b"
+    assert value(identifiers.without_repeats(F.lit("ACME Acme ACME - - Paris ,"))) == "ACME ACME - Paris"
+    assert [value(identifiers.kept_phone(F.lit(t))) for t in ("01 02 03 04 05", "+49 30 1234567", "1111111111", "123456789", None)] == ["01 02 03 04 05", "+49 30 1234567", None, None, None]
+    assert value(addresses.part(F.lit("av. Général Pruneau"))) == "AVENUE GENERAL PRUNEAU" and value(addresses.number(F.lit("002"))) == "2"
+    assert [value(addresses.departments(F.lit(p))) for p in ("06003", "20100", "97400", None)] == [["06"], ["2A", "2B"], ["974"], []]
+    assert tuple(value(addresses.town(F.lit("PARIS CEDEX 08")))) == ("PARIS", True, "08")
+    assert value(addresses.key(F.lit("2"), F.lit(""), F.lit(""), F.lit("83000"), F.lit("Toulon"))) is None
+    assert [value(identifiers.bad_order_number(F.lit(t))) for t in ("PO-123", "a@b12", "Total 12", "01 02 03 04 05", "A", None)] == [False, True, True, True, True, True]
