@@ -108,7 +108,7 @@ class Ids:
 
     def _parts(self, text: str) -> Iterator[str]:
         at = 0
-        while len(text) - at > PART:
+        while self.by_piece and len(text) - at > PART:
             m = self.joint.search(text, at + PART)
             if not m:
                 break
