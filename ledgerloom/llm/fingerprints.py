@@ -1,13 +1,16 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, and containment between them.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range (and the smallest hash, so that no text
-with words has an empty sketch). As the threshold is the same for all texts, the union of two sketches is the sketch of
-the joined texts, and the share of the smaller sketch found in the larger estimates how far the shorter text is contained in
-the longer, however unequal they are.
-
-Defined cases: a null text counts as empty; an empty text or one without words has an empty sketch, alike (1.0) to
-another empty one and unlike (0.0) any other; repeated rows and ties of doc_id are ordered by text; a null doc_id
-comes before all others; a single document follows itself; extra columns are ignored.
+A sketch keeps every shingle hash below a fixed fraction of the hash range. As the threshold is the same for all texts, the union of two
+sketches is the sketch of both texts' shingles, and the share of the smaller sketch found in the larger estimates how far the shorter text is contained
+in the longer, however unequal they are.
+
+A short text may have no hash below the threshold. Its sketch is empty, and its fingerprint is a tilde and its smallest hash instead: that names the
+text, but is no part of a sketch and never merged. Such a text is alike (1.0) to one with the same smallest hash and an empty
+sketch too, and unlike (0.0) any other, as a larger sketch can't tell whether it holds the text.
+
+Defined cases: a null text counts as empty; an empty text or one without words has an empty fingerprint, alike (1.0) to
+another empty one and unlike (0.0) any other; a text of any length is hashed whole, in pieces; repeated rows and ties of doc_id are ordered by text; a null doc_id
+comes before all others; a single document follows itself; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,13 +18,14 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Words, chunks
+from .textkit import Words, chunks, kept_by, slices
 
 #: Words in a shingle, and the fraction of all hashes that a sketch keeps.
 SHINGLE, FRACTION = 5, 1 / 8
@@ -29,8 +33,16 @@ SHINGLE, FRACTION = 5, 1 / 8
 BITS = 48
 
 
-def sketches(texts: list[bytes], k: int = SHINGLE, fraction: float = FRACTION) -> list[np.ndarray]:
-    """The sorted distinct kept hashes of each text."""
+@dataclass
+class Sketch:
+    """The hashes below the threshold, sorted and distinct, and the smallest hash of all (None: no words)."""
+
+    hashes: np.ndarray
+    least: int | None = None
+
+
+def sketches(texts: list[bytes], k: int = SHINGLE, fraction: float = FRACTION) -> list[Sketch]:
+    """The sketch of each text."""
     limit = np.uint64(int(fraction * 2.0**BITS))
     kept: list[list[np.ndarray]] = [[] for _ in texts]
     least: list[int | None] = [None] * len(texts)
@@ -56,46 +68,47 @@ def sketches(texts: list[bytes], k: int = SHINGLE, fraction: float = FRACTION) -
             if smallest[p] != np.iinfo(np.uint64).max:
                 least[i] = int(smallest[p]) if least[i] is None else min(least[i], int(smallest[p]))
     none = np.zeros(0, np.uint64)
-    out = []
-    for own, low in zip(kept, least, strict=True):
-        if own:
-            out.append(own[0] if len(own) == 1 else np.unique(np.concatenate(own)))
-        else:
-            out.append(none if low is None else np.array([low], np.uint64))
-    return out
+    return [Sketch((own[0] if len(own) == 1 else np.unique(np.concatenate(own))) if own else none, low) for own, low in zip(kept, least, strict=True)]
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sketch of two texts together."""
-    return np.union1d(a, b)
+def merge(a: Sketch, b: Sketch) -> Sketch:
+    """Sketch of the shingles of two texts together."""
+    both = [x for x in (a.least, b.least) if x is not None]
+    return Sketch(np.union1d(a.hashes, b.hashes), min(both) if both else None)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
+def containment(a: Sketch, b: Sketch) -> float:
     """Share of the smaller sketch that the larger holds."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(a.hashes) or not len(b.hashes):
+        return float(len(a.hashes) == len(b.hashes) and a.least == b.least)
+    small, large = (a.hashes, b.hashes) if len(a.hashes) <= len(b.hashes) else (b.hashes, a.hashes)
     at = np.minimum(np.searchsorted(large, small), len(large) - 1)
     return float((large[at] == small).sum() / len(small))
 
 
-def encode(sketch: np.ndarray) -> str:
-    """Six big-endian bytes a hash, in base64: eight characters each."""
-    return base64.b64encode(np.ascontiguousarray(sketch.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()).decode()
+def encode(sketch: Sketch) -> str:
+    """Six big-endian bytes a hash, in base64: eight characters each; a tilde before the smallest hash where no other is kept."""
+    bare = not len(sketch.hashes) and sketch.least is not None
+    h = np.array([sketch.least], np.uint64) if bare else sketch.hashes
+    return "~" * bare + base64.b64encode(np.ascontiguousarray(h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()).decode()
 
 
-def decode(text: str) -> np.ndarray:
-    raw = np.frombuffer(base64.b64decode(text), np.uint8).reshape(-1, 6)
+def decode(text: str) -> Sketch:
+    """What ``encode`` wrote."""
+    raw = np.frombuffer(base64.b64decode(text.removeprefix("~")), np.uint8).reshape(-1, 6)
     full = np.zeros((len(raw), 8), np.uint8)
     full[:, 2:] = raw
-    return full.reshape(-1).view(">u8").astype(np.uint64)
+    h = full.reshape(-1).view(">u8").astype(np.uint64)
+    least = int(h[0]) if len(h) else None
+    return Sketch(h[:0], least) if text.startswith("~") else Sketch(h, least)
 
 
 def fingerprint_documents(docs: DataFrame, k: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
     """(doc_id, n_chars, fingerprint) of every document, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        kept_by("fingerprints")
+        for b in (part for batch in batches for part in slices(batch)):
             texts = [t or "" for t in b.column("text").to_pylist()]
             prints = [encode(s) for s in sketches([t.encode() for t in texts], k, fraction)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(prints, pa.string())], ["doc_id", "n_chars", "fingerprint"])
@@ -145,13 +158,12 @@ def compare_with_edits(docs: DataFrame, k: int = SHINGLE, fraction: float = FRAC
     """Fingerprints of every text and of its edited text, whose second half comes from the next document's beginning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("fingerprints")
         held: list[tuple] = []
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             rows = held + list(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("guest").to_pylist(), strict=True))
             held = rows[-1:]
-            for at in range(0, len(rows) - 1, 2000):
-                part = rows[at : at + 2001]
-                yield from compared(part)
+            yield from compared(rows)
 
     def compared(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         own = sketches([r[1].encode() for r in rows], k, fraction)

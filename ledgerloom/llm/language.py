@@ -1,13 +1,13 @@
 """Language ID by rank-order profiles: out-of-place distance between a document's n-grams and each language's.
 
 N-grams are runs of one to three letters in lower case, with one mark for all that stands between words. A language's profile is
-its ``TOP`` most frequent n-grams in order, from a bounded sample of labelled documents. A document's n-grams (those that some profile
-has) are ranked by frequency over its whole text; each costs the difference of its ranks, or ``TOP`` if the profile lacks it. The
-language with the smallest sum wins.
+its ``TOP`` most frequent n-grams in order, from a bounded sample of labelled documents. A document's ``TOP`` most frequent n-grams are ranked
+over its whole text; each costs the difference of its ranks, or ``TOP`` if the profile lacks it. The language with the smallest sum wins.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; letters that no profile knows give the language with
-the most labelled documents, with score 0; ties go to the first language in code-point order; a null doc_id is predicted but never learnt
-from; repeated rows are alike; without labels all are ``und``; extra columns are ignored.
+Defined cases: a null text, or one without a letter, is ``und`` with score 0; a text none of whose n-grams any profile has is as far from all and
+goes to the first language with score 0, as ties go to the first language in code-point order; n-grams that are as frequent are ranked by code
+point; a text of any length is counted whole, in pieces that carry the n-grams across their edges; a null doc_id is predicted but never learnt
+from; repeated rows are alike; an empty table gives no rows; without labels all are ``und``; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranks of a profile; the most documents a language's profile is made from; texts and characters that are handled at once.
-TOP, SAMPLE, TEXTS, CHARACTERS = 300, 2000, 256, 1 << 18
-_CODE = 22
+from .textkit import kept_by, slices
+
+#: Ranks of a profile; the most documents a language's profile is made from; characters that are handled at once.
+TOP, SAMPLE, CHARACTERS = 300, 2000, 1 << 18
+#: Stands in an n-gram for what lies between words; no code point. A code point and the mark take 21 bits.
+MARK, BITS = 0x110000, 21
 _letters: list[np.ndarray] = []
 
 
@@ -34,102 +37,80 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, code) of every n-gram, and whether each text has a letter."""
-    points = [np.frombuffer((t.lower() + "\n").encode("utf-32-le", "replace"), np.uint32) for t in texts]
-    owner = np.repeat(np.arange(len(texts), dtype=np.int64), [len(p) for p in points])
-    c = np.concatenate([np.array([10], np.uint32), *points])
-    owner = np.concatenate(([0], owner))
-    letter = letters()[c]
-    has = np.zeros(len(texts), bool)
-    has[owner[letter]] = True
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    keep[0] = True
-    c, owner = np.where(letter, c, 0)[keep].astype(np.uint64), owner[keep]
-    out_owner, out = [], []
-    for n in (1, 2, 3):
-        if len(c) < n:
-            break
-        h = np.full(len(c) - n + 1, n, np.uint64)
-        for j in range(n):
-            h = (h + c[j : len(c) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        good = c > 0 if n == 1 else (c[1:-1] > 0 if n == 3 else np.ones(len(h), bool))
-        out_owner.append(owner[n - 1 :][good])
-        out.append((h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - _CODE))[good].astype(np.int64))
-    return np.concatenate(out_owner), np.concatenate(out), has
-
-
-def groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of bounded number and length; a long text comes alone, in pieces (its place again each time)."""
-    held: list[str] = []
-    first = size = 0
-    for i, t in enumerate(texts):
-        if held and (len(held) >= TEXTS or size + len(t) > CHARACTERS):
-            yield first, held
-            held, size = [], 0
-        if not held:
-            first = i
-        if len(t) > CHARACTERS:
-            for at in range(0, len(t), CHARACTERS):
-                yield i, [t[at : at + CHARACTERS]]
-        else:
-            held.append(t)
-            size += len(t)
-            continue
-        first = i + 1
-    if held:
-        yield first, held
+def codes(text: str) -> Iterator[np.ndarray]:
+    """The n-grams of a text as numbers that tell them apart, those that end in each piece of the text."""
+    text = text.lower() + "\n"
+    before, after_letter = np.array([MARK], np.int64), False
+    for at in range(0, len(text), CHARACTERS):
+        c = np.frombuffer(text[at : at + CHARACTERS].encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        letter = letters()[c]
+        follows = np.append(after_letter, letter[:-1])
+        keep = letter | follows
+        after_letter = bool(letter[-1])
+        c = np.concatenate((before, np.where(letter, c, MARK)[keep]))
+        out = []
+        for n in (1, 2, 3):
+            first = max(n - 1, len(before))  # the end of the first n-gram that isn't counted yet
+            if len(c) <= first:
+                continue
+            h = np.zeros(len(c) - first, np.int64)
+            for j in range(n):
+                h = (h << BITS) | c[first - n + 1 + j : len(c) - n + 1 + j]
+            if n == 1:
+                h = h[c[first:] != MARK]
+            elif n == 3:
+                h = h[c[first - 1 : len(c) - 1] != MARK]
+            out.append(h)
+        before = c[-2:]
+        yield np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text, ascending, and how often each occurs."""
+    have = n = np.zeros(0, np.int64)
+    for piece in codes(text):
+        found, m = np.unique(piece, return_counts=True)
+        if len(have):
+            found, at = np.unique(np.concatenate((have, found)), return_inverse=True)
+            m = np.bincount(at, np.concatenate((n, m)), len(found)).astype(np.int64)
+        have, n = found, m
+    return have, n
+
+
+def ranked(text: str, top: int = TOP) -> np.ndarray:
+    """The most frequent n-grams of a text, the most frequent first."""
+    found, n = counts(text)
+    if len(n) > 4 * top:
+        least = np.partition(n, len(n) - top)[len(n) - top]
+        found, n = found[n >= least], n[n >= least]
+    return found[np.argsort(-n, kind="stable")[:top]]
 
 
 @dataclass
 class Profiles:
     languages: list[str]
-    codes: np.ndarray  # of the known n-grams, the most frequent first
-    ranks: np.ndarray  # languages x codes; TOP if the profile lacks it
-    common: int  # the language with the most labelled documents
-
-    def __post_init__(self):
-        self.place = np.full(1 << _CODE, -1, np.int32)
-        self.place[self.codes] = np.arange(len(self.codes))
-
-    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        owner, code, has = grams(texts)
-        at = self.place[code]
-        known = at >= 0
-        width = len(self.codes)
-        return np.bincount(owner[known] * width + at[known], minlength=len(texts) * width).reshape(len(texts), width), has
+    grams: np.ndarray  # the n-grams of all profiles, ascending
+    ranks: np.ndarray  # languages x n-grams; ``top`` if the profile lacks it
+    top: int = TOP
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        names, scores = ["und"] * len(texts), [0.0] * len(texts)
-        if not self.languages:
-            return names, scores
-        carried: dict[int, list] = {}
-        for first, part in groups(texts):
-            counts, has = self.counts(part)
-            if len(part) == 1 and len(texts[first]) > CHARACTERS:
-                old = carried.get(first)
-                carried[first] = [counts + old[0], has | old[1]] if old else [counts, has]
+        names, scores = [], []
+        for text in texts:
+            own = ranked(text, self.top) if self.languages else np.zeros(0, np.int64)
+            if not len(own):
+                names.append("und")
+                scores.append(0.0)
                 continue
-            self._judge(first, counts, has, names, scores)
-        for i, (counts, has) in carried.items():
-            self._judge(i, counts, has, names, scores)
+            at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+            known = self.grams[at] == own
+            rank = self.ranks[:, at[known]]
+            cost = np.where(rank < self.top, np.abs(rank - np.flatnonzero(known)), self.top)
+            far = cost.sum(1) + self.top * int((~known).sum())
+            best = int(np.argmin(far))
+            names.append(self.languages[best])
+            scores.append(float(1 - far[best] / (len(own) * self.top)))
         return names, scores
 
-    def _judge(self, first: int, counts: np.ndarray, has: np.ndarray, names: list[str], scores: list[float]) -> None:
-        order = np.argsort(-counts, axis=1, kind="stable")[:, :TOP]
-        there = np.take_along_axis(counts, order, 1) > 0
-        n = there.sum(1)
-        rank = np.arange(order.shape[1])
-        far = np.stack([np.where(there, np.abs(r[order] - rank), 0).sum(1) for r in self.ranks], 1)
-        best = np.argmin(far, 1)
-        for i in np.flatnonzero(has):
-            if n[i]:
-                names[first + i], scores[first + i] = self.languages[best[i]], float(1 - far[i, best[i]] / (n[i] * TOP))
-            else:
-                names[first + i] = self.languages[self.common]
-
 
 def held_out(doc_id: Column) -> Column:
     """Rows that aren't learnt from."""
@@ -145,43 +126,43 @@ def learn(docs: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Profiles:
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64), 0)
+        return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64), top)
     share = F.element_at(F.create_map(*(x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, sample / n))))), F.col("lang"))
     picked = usable.where((F.pmod(F.xxhash64(F.lit(21), "doc_id"), F.lit(1 << 20)) < share * (1 << 20)) & F.col("text").isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("language")
         for b in batches:
-            langs, texts = b.column("lang").to_pylist(), _texts(b)
-            for lang in sorted(set(langs)):
-                own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
-                for _, part in groups(own):
-                    code, n = np.unique(grams(part)[1], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n)], ["lang", "code", "n"])
-
-    totals = picked.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    ranked = totals.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code")) - 1).where(F.col("r") < top)
-    rows = ranked.collect()  # ``top`` rows a language
+            for part in slices(b):
+                langs, texts = part.column("lang").to_pylist(), _texts(part)
+                for lang in sorted(set(langs)):
+                    own = [counts(t) for t, x in zip(texts, langs, strict=True) if x == lang]
+                    gram, at = np.unique(np.concatenate([g for g, _ in own]), return_inverse=True)
+                    n = np.bincount(at, np.concatenate([n for _, n in own]), len(gram)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
+
+    totals = picked.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    best = totals.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1).where(F.col("r") < top)
+    rows = best.collect()  # ``top`` rows a language
     languages = sorted({r["lang"] for r in rows}, key=lambda x: x.encode())
     if not languages:
-        return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64), 0)
-    best: dict[int, int] = {}
-    for r in rows:
-        best[r["code"]] = min(best.get(r["code"], top), r["r"])
-    codes = sorted(best, key=lambda c: (best[c], c))
-    place = {c: i for i, c in enumerate(codes)}
-    ranks = np.full((len(languages), len(codes)), top, np.int64)
+        return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64), top)
+    grams = np.unique(np.array([r["gram"] for r in rows], np.int64))
+    ranks = np.full((len(languages), len(grams)), top, np.int64)
     for r in rows:
-        ranks[languages.index(r["lang"]), place[r["code"]]] = r["r"]
-    return Profiles(languages, np.array(codes, np.int64), ranks, int(np.argmax([sizes[x] for x in languages])))
+        ranks[languages.index(r["lang"]), np.searchsorted(grams, r["gram"])] = r["r"]
+    return Profiles(languages, grams, ranks, top)
 
 
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("language")
         for b in batches:
-            names, scores = profiles.predict(_texts(b))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            for part in slices(b):
+                names, scores = profiles.predict(_texts(part))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -10,13 +10,15 @@ its disjoint run of a source's permuted blocks and shuffles its rows locally.
 Only aggregates are gathered: a row for each source, and for each block. All steps are Spark's own functions. All draws are
 hashes of a seed and of row values, so reruns agree, however the rows are dealt.
 
-Defined cases: a null text has size 0; a null source is a source, last in order; sources without words have target 0; rows
+Defined cases: a null text has size 0; a text of any length is counted whole; a null source is a source, last in order; sources without words have target 0; rows
 alike in doc_id, size and source are taken together or not at all; an empty table gives no rows; extra columns are ignored
 by ``plan_mix`` and kept by ``mix_documents``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from .store import materialise
 WEIGHTS, MOST, BLOCK_ROWS, SHARDS, SEED, TRIES = (5, 2, 1), 3, 128, 16, 20240607, 32
 #: Plans of up to so many blocks, or sources, are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 20_000
+#: Blocks of a range of a source's permuted order; sources of a group; rows of a partition of the mix.
+RANGE, GROUP, PARTITION_ROWS = 4096, 256, 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -89,11 +93,9 @@ def plan_mix(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     """
     sources = materialise(targets(slim, weights, most), "sources")
     rows = _joined(slim, sources.where("more > 0").select("source", "more", "n_blocks"), ["source"]).where("more IS NOT NULL").withColumn("block", _block())
-    groups = rows.groupBy("source", "block", "key").agg(F.sum("size").alias("words"), F.first("more").alias("more"))
-    sums = groups.groupBy("source", "block").agg(F.sum("words").alias("block_words"), F.first("more").alias("more"))
-    order = W.partitionBy("source").orderBy(F.xxhash64(F.lit(SEED + 2), "source", "block"), "block")
-    sums = sums.withColumn("place", F.row_number().over(order) - 1).withColumn("upto", F.sum("block_words").over(order))
-    sums = sums.withColumn("room", F.col("more") - (F.col("upto") - F.col("block_words"))).where("room > 0").drop("more", "upto")
+    groups = rows.groupBy("source", "block", "key").agg(F.sum("size").alias("words"), F.first("more").alias("more"), F.first("n_blocks").alias("n_blocks"))
+    sums = groups.groupBy("source", "block").agg(F.sum("words").alias("block_words"), F.first("more").alias("more"), F.first("n_blocks").alias("n_blocks"))
+    sums = permuted(sums).withColumn("room", F.col("more") - F.col("before")).where("room > 0").drop("more", "before")
     sums = materialise(sums, "blocks")
     edge = sums.where("room < block_words").select(F.col("source").alias("_s"), F.col("block").alias("_b"), "room")
     inside = groups.join(edge, groups["source"].eqNullSafe(edge["_s"]) & (groups["block"] == edge["_b"]))
@@ -109,6 +111,23 @@ def plan_mix(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return sources, blocks
 
 
+def permuted(sums: DataFrame) -> DataFrame:
+    """Adds to the blocks of ``sums(source, block, block_words, n_blocks, ...)`` the ``place`` in the source's permuted order and the words ``before`` it.
+
+    The order is by hash. It is cut in ranges of about ``RANGE`` blocks: a window over a source sees a row a range, and one over blocks only a range's.
+    """
+    at = F.xxhash64(F.lit(SEED + 2), "source", "block")
+    ranges = F.ceil(F.col("n_blocks") / RANGE)
+    sums = sums.withColumn("_at", at).withColumn("_range", F.least(F.floor((F.col("_at").cast("double") / float(1 << 64) + 0.5) * ranges), ranges - 1).cast("long")).drop("n_blocks")
+    sums = materialise(sums, "permuted")
+    earlier = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = sums.groupBy("source", "_range").agg(F.sum("block_words").alias("_words"), F.count("*").alias("_n"))
+    totals = materialise(totals.select("source", "_range", F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_words"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n")), "ranges")
+    order = W.partitionBy("source", "_range").orderBy("_at", "block")
+    out = _joined(sums, totals, ["source", "_range"]).withColumn("place", F.row_number().over(order) - 1 + F.col("_n"))
+    return out.withColumn("before", F.sum("block_words").over(order) - F.col("block_words") + F.col("_words")).drop("_at", "_range", "_words", "_n")
+
+
 def _fitting(rows: Column, room: Column) -> Column:
     """Keys of rows of a boundary block whose words come nearest to ``room``: of ``TRIES`` permuted orders, the best.
 
@@ -169,25 +188,46 @@ def _invert(p: Column) -> Column:
 
 
 def split_quotas(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(ordinal, ends): for each source, where each shard's run of its blocks ends; shards is a power of two."""
+    """(ordinal, ends): for each source, where each shard's run of its blocks ends; shards is a power of two.
+
+    Sources are drawn for in groups of ``GROUP``: first each group's share of the left half, then each source's share of its group's.
+    That is the same distribution, and no row holds more than a group's sources or all groups' totals.
+    """
     if shards < 1 or shards & (shards - 1):
         raise ValueError("shards must be a power of two")
-    nodes = quotas.agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "quota"))), lambda x: x["quota"].cast("long")).alias("q")).select(F.lit(0).alias("node"), "q")
-    width = shards
-    while width > 1:
-        level = width
-        start = F.struct(F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("pop"), F.array().cast("array<bigint>").alias("got"))
-        start = let(start, lambda s: F.struct(s["pop"].alias("pop"), F.floor(s["pop"] / 2).cast("long").alias("take"), s["got"].alias("got")))
+    own = quotas.select(F.floor(F.col("ordinal") / GROUP).cast("long").alias("grp"), (F.col("ordinal") % GROUP).alias("i"), F.col("quota").cast("long").alias("quota"))
+    own = materialise(own.groupBy("grp").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "quota"))), lambda x: x["quota"]).alias("q")), "quota-groups")
+    groups = own.count()
+    nodes = own.select(F.lit(0).alias("node"), "grp", "q")
+    total = lambda q: F.aggregate(q, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def drawn(q: Column, take: Column, *seeds: Column) -> Column:
+        """Of each entry of ``q`` the share of ``take`` draws from all, by conditional draws."""
+        start = F.struct(total(q).alias("pop"), take.alias("take"), F.array().cast("array<bigint>").alias("got"))
 
         def draw(s: Column, K: Column) -> Column:
-            u = _uniform(F.lit(level), F.col("node"), F.array_size(s["got"]))
+            u = _uniform(*seeds, F.array_size(s["got"]))
             return let(hypergeometric(s["pop"], K, s["take"], u), lambda x: F.struct((s["pop"] - K).alias("pop"), (s["take"] - x).alias("take"), F.array_append(s["got"], x).alias("got")))
 
-        left = nodes.select("node", "q", F.aggregate("q", start, draw, lambda s: s["got"]).alias("l"))
+        return F.aggregate(q, start, draw, lambda s: s["got"])
+
+    half = lambda q: F.floor(total(q) / 2).cast("long")
+    width = shards
+    while width > 1:
+        if groups > 1:
+            totals = nodes.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("grp", total(F.col("q")).alias("t")))).alias("g"))
+            totals = totals.select("node", "g", F.transform("g", lambda x: x["t"]).alias("t"))
+            shares = totals.select("node", F.explode(F.zip_with("g", drawn(F.col("t"), half(F.col("t")), F.lit(-width), F.col("node")), lambda g, n: F.struct(g["grp"].alias("grp"), n.alias("take")))).alias("x"))
+            nodes = nodes.join(shares.select("node", "x.grp", "x.take"), ["node", "grp"])
+        else:
+            nodes = nodes.withColumn("take", half(F.col("q")))
+        left = nodes.select("node", "grp", "q", drawn(F.col("q"), F.col("take"), F.lit(width), F.col("node"), F.col("grp")).alias("l"))
         halves = F.array(F.struct((2 * F.col("node")).alias("node"), F.col("l").alias("q")), F.struct((2 * F.col("node") + 1).alias("node"), F.zip_with("q", "l", lambda a, b: a - b).alias("q")))
-        nodes = left.select(F.explode(halves).alias("h")).select("h.node", "h.q")
+        nodes = left.select("grp", F.explode(halves).alias("h")).select("h.node", "grp", "h.q")
+        if groups > 1:
+            nodes = materialise(nodes, "tree-level")
         width //= 2
-    flat = nodes.select("node", F.posexplode("q").alias("ordinal", "n"))
+    flat = nodes.select("node", "grp", F.posexplode("q").alias("i", "n")).select("node", (F.col("grp") * GROUP + F.col("i")).cast("int").alias("ordinal"), "n")
     ends = F.sum("n").over(W.partitionBy("ordinal").orderBy("node"))
     return flat.withColumn("end", ends).groupBy("ordinal").agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "end"))), lambda x: x["end"]).alias("ends"))
 
@@ -219,5 +259,8 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: f
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
     copies = apply_mix(rows.withColumn("key", row_key()), sources, blocks).select("_row", "key", F.posexplode("shards").alias("_copy", "_shard"))
     drawn = copies.withColumn("_order", F.xxhash64(F.lit(seed), "key", "_copy"))
-    # A shard may be large: its rows go to several partitions by their order.
-    return drawn.repartition(F.col("_shard"), F.pmod("_order", F.lit(64))).sortWithinPartitions("_shard", "_order").select("_row.*")
+    # A shard may be large: its rows go to as many partitions, by their order, as its documents ask for.
+    parts = max(64, math.ceil(MOST * (sources.agg(F.sum("n_docs")).first()[0] or 0) / (shards * PARTITION_ROWS)))
+    keys = (F.col("_shard"), F.pmod("_order", F.lit(parts)))
+    dealt = drawn.repartition(shards * parts, *keys) if parts > 64 else drawn.repartition(*keys)
+    return dealt.sortWithinPartitions("_shard", "_order").select("_row.*")

@@ -4,7 +4,8 @@
 characters other than U+0020 and U+0009 to U+000D; lines are split at ``\\n``.
 
 Defined cases: a null or empty text has no words and fails the base rules; repeated rows are judged alike; a null doc_id
-stays null; extra columns are kept by ``filter_quality`` and ignored by ``judge``.
+stays null; a text of any length is judged whole, and no rule bounds its words from above; a measure that equals a bound passes; an empty table
+gives no rows; extra columns are kept by ``filter_quality`` and ignored by ``judge``.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ class Rule:
 
 #: Bounds on measures from ``measures``.
 RULES = (
-    Rule("n_words", 50, 1_000_000),
+    Rule("n_words", 50, None),
     Rule("mean_word_chars", 2, 15),
     Rule("symbols_per_word", None, 0.1),
     Rule("stop_word_share", 0.02, None),

@@ -6,13 +6,14 @@ distance of at most d" runs on a grid: the coordinates are dealt to ``d + keep``
 on at least ``keep`` of them, so each fingerprint goes to one cell for each choice of ``keep`` bands and meets there all
 that lie within d. In a cell the Manhattan distance filters, then the Hamming distance decides.
 
-Equal fingerprints are grouped first, so copies never meet as pairs. A cell with more than ``DENSE`` fingerprints isn't paired
-at all: its fingerprints go to exact wildcard groups instead (every choice of d bits masked out), where all members of a group are
+Equal fingerprints are grouped first, so copies never meet as pairs. A cell with more than ``DENSE`` fingerprints isn't paired: the grid is refined there
+with further segments, up to cells that fix the counts of all segments but ``d``, where vectors within d still meet. Only what is crowded even
+there, fingerprints that swap bits within segments by the hundred, goes to exact wildcard groups (every choice of d bits masked out), where all members of a group are
 within d of each other and a star to the smallest one keeps them connected: linear in the members, with no link lost
 between groups. Components are found by alternating large-star and small-star steps on tables written to shared storage.
 
-Defined cases: a null, empty or blank text has fingerprint zero, linked like any other; repeated rows and ties share a
-fingerprint; a null doc_id is kept and joins its group, whose id is the smallest non-null doc_id; extra columns are
+Defined cases: a null, empty or blank text has fingerprint zero, linked like any other; a text of any length is read whole; repeated rows and ties share a
+fingerprint; a null doc_id is kept and joins its group, whose id is the smallest non-null doc_id (null if it has none); extra columns are
 ignored by ``link_documents`` and kept by ``deduplicate``; an empty table gives no rows.
 """
 
@@ -27,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_counted
 from .store import discard, materialise
 from .textkit import kept_by, slices
 
@@ -87,23 +89,38 @@ def bands_kept(n: int) -> int:
     return keep
 
 
+def coarse_masks(keep: int, distance: int) -> list[int]:
+    """The bits that each grid's cells fix: every choice of ``keep`` of ``distance + keep`` bands of segments."""
+    edges = np.linspace(0, 32, keep + distance + 1).astype(int)
+    return [sum(3 << (2 * s) for band in chosen for s in range(edges[band], edges[band + 1])) for chosen in combinations(range(keep + distance), keep)]
+
+
+def fine_masks(distance: int) -> list[int]:
+    """As above, for cells that fix all segments but ``distance``."""
+    return [((1 << 64) - 1) & ~sum(3 << (2 * s) for s in left) for left in combinations(range(32), distance)]
+
+
 def links(fps: DataFrame, n: int, distance: int = DISTANCE, dense: int = DENSE) -> DataFrame:
     """(a, b), a < b by signed value: links between distinct fingerprints ``fps(fp)`` that connect all within ``distance``."""
-    keep = bands_kept(n)
-    edges = np.linspace(0, 32, keep + distance + 1).astype(int)
-    masks = []
-    for chosen in combinations(range(keep + distance), keep):
-        m = 0
-        for band in chosen:
-            for s in range(edges[band], edges[band + 1]):
-                m |= 3 << (2 * s)
-        masks.append(m)
+    near = None
+    for masks in (coarse_masks(bands_kept(n), distance), fine_masks(distance)):
+        found = materialise(gridded(fps, masks, distance, dense), "meet")
+        linked = found.where("b IS NOT NULL")
+        near = linked if near is None else near.unionByName(linked)
+        fps = materialise(found.where("b IS NULL").select(F.col("a").alias("fp")).distinct(), "crowded")
+        if not fps.limit(1).count():
+            return near.distinct()
+    return near.unionByName(wildcard_links(fps, distance)).distinct()
+
+
+def gridded(fps: DataFrame, masks: list[int], distance: int, dense: int) -> DataFrame:
+    """(a, b): links within the cells of grids that fix these bits of the embedding; (fp, null) for each fingerprint in a dense cell."""
     masks_ = np.array(masks, np.uint64)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 20_000):
-                fp = b.column("fp").slice(at, 20_000).to_numpy()
+            for at in range(0, b.num_rows, 2_000):
+                fp = b.column("fp").slice(at, 2_000).to_numpy()
                 at_grid = embed(fp.view(np.uint64))[:, None] & masks_[None, :]
                 grid = np.broadcast_to(np.arange(len(masks_), dtype=np.int32), at_grid.shape)
                 yield pa.RecordBatch.from_arrays([pa.array(grid.reshape(-1)), pa.array(at_grid.reshape(-1).view(np.int64)), pa.array(np.repeat(fp, len(masks_)))], ["grid", "cell", "fp"])
@@ -170,10 +187,7 @@ def links(fps: DataFrame, n: int, distance: int = DISTANCE, dense: int = DENSE)
             first[0] = True
             yield from out(*pairs(cell, fp, first))
 
-    found = materialise(fps.mapInArrow(cells, "grid int, cell long, fp long").repartition("grid", "cell").sortWithinPartitions("grid", "cell").mapInArrow(meet, "a long, b long"), "meet")
-    near = found.where("b IS NOT NULL").distinct()
-    crowded = found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
-    return near.unionByName(wildcard_links(crowded, distance)).distinct()
+    return fps.mapInArrow(cells, "grid int, cell long, fp long").repartition("grid", "cell").sortWithinPartitions("grid", "cell").mapInArrow(meet, "a long, b long")
 
 
 def wildcard_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -227,22 +241,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(prints: DataFrame) -> DataFrame:
-    """(fp, component_id) of every fingerprint of ``prints(doc_id, fp)``."""
-    own = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
-    n = own.count()
-    roots = components(links(own.select("fp"), n))
+    """(fp, n, root, component_id) of every fingerprint of ``prints(doc_id, fp)``: its rows, its component's smallest fingerprint and smallest doc_id."""
+    own = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "groups")
+    roots = components(links(own.select("fp"), own.count()))
     rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = roots.select("root").distinct()
-    multiple = rooted.join(least.join(linked, "root", "left_semi"), "root").select("fp", "component_id")
-    return own.join(multiple, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    least = rooted.join(linked, "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(least, "root", "left").select("fp", "n", "root", F.coalesce("component_id", "least").alias("component_id"))
 
 
 def link_documents(docs: DataFrame, k: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id) of every document."""
     prints = materialise(fingerprints(docs, k, seed), "prints")
     known = materialise(grouped(prints), "components")
-    return prints.join(known, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    total = known.agg(F.sum("n")).first()[0] or 0
+    return join_counted(prints, known.select("fp", "n", "component_id"), "fp", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def with_fingerprint(docs: DataFrame, k: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -260,12 +273,22 @@ def with_fingerprint(docs: DataFrame, k: int = SHINGLE, seed: int = SEED) -> Dat
 
 
 def deduplicate(docs: DataFrame, k: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """The documents without near-duplicates: of each component the row with the smallest doc_id stays, one if it comes repeated."""
+    """The documents without near-duplicates: of each component the row with the smallest doc_id stays (a null one only if there is no other).
+
+    Of rows alike in doc_id and fingerprint, the one with the smallest hash of its columns stays.
+    """
     prints = materialise(fingerprints(docs, k, seed), "prints")
     known = materialise(grouped(prints), "components")
-    stays = prints.join(known, "fp").where("doc_id = component_id OR component_id IS NULL").groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
+    rows = prints.groupBy("doc_id", "fp").agg(F.count("*").alias("copies"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "copies")).alias("s")
+    stays = rows.join(known.select("fp", "root"), "fp").groupBy("root").agg(least).select("s.doc_id", "s.fp", "s.copies")
     stays = materialise(stays, "stays")
     kept = with_fingerprint(docs, k, seed).join(stays.select("doc_id", "fp"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_fp") == F.col("fp")), "left_semi")
-    if stays.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["_id", "_fp"])
-    return kept.select("_row.*")
+    return one_of_each(kept, stays, "_fp").select("_row.*")
+
+
+def one_of_each(kept: DataFrame, stays: DataFrame, name: str) -> DataFrame:
+    """Of rows ``kept`` that are alike in ``_id`` and ``name``, the one with the smallest hash of its columns."""
+    if not stays.where("copies > 1").limit(1).count():
+        return kept
+    return kept.groupBy("_id", name).agg(F.min_by("_row", F.struct(F.xxhash64(F.col("_row")), F.col("_row").cast("string"))).alias("_row"))

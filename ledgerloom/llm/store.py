@@ -11,10 +11,15 @@ _own: str | None = None
 
 
 def workspace(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; an own one only where that is unset, as in local tests."""
+    """The folder of ``spark.checkpoint.dir``, or the context's checkpoint folder; an own one only in local mode, as in tests."""
     global _own
     if configured := spark.conf.get("spark.checkpoint.dir", None):
         return configured.rstrip("/")
+    context = spark.sparkContext
+    if configured := context.getCheckpointDir():
+        return configured.rstrip("/")
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own is None:
         _own = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
     return _own

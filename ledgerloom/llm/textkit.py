@@ -90,8 +90,13 @@ def chunks(texts: list[bytes], overlap: int, limit: int | None = None) -> Iterat
 
 
 def cut(text: bytes, overlap: int, limit: int) -> Iterator[bytes]:
-    """Pieces of a long text, cut between words (see ``chunks``)."""
+    """Pieces of a long text, cut between words (see ``chunks``).
+
+    Each piece but an only one holds more than ``overlap`` words, and each but the first at least one new word: what is too
+    short goes on to the next.
+    """
     at, carry = 0, b""
+    begun = False
     while at < len(text):
         end = min(at + limit, len(text))
         if end < len(text):
@@ -101,11 +106,21 @@ def cut(text: bytes, overlap: int, limit: int) -> Iterator[bytes]:
             else:  # one word longer than the limit stays whole
                 found = [x for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (x := text.find(c, end)) >= 0]
                 end = min(found) if found else len(text)
-        piece = carry + text[at:end]
-        yield piece
-        last = piece.rsplit(None, overlap)[-overlap:] if overlap else []
-        carry = b" ".join(last) + b" " if last else b""
+        fresh = text[at:end]
         at = end
+        if not fresh.strip():
+            continue
+        piece = carry + fresh
+        if overlap:
+            last = piece.rsplit(None, overlap)
+            if len(last) <= overlap or (len(last) == overlap + 1 and not last[0].strip()):
+                carry = piece
+                continue
+            carry = b" ".join(last[-overlap:]) + b" "
+        begun = True
+        yield piece
+    if not begun and carry:
+        yield carry
 
 
 class Words:

@@ -13,7 +13,7 @@ features and the sample's rows over them, both bounded by parameters, and trains
 Only the sample (``POSITIVES`` and ``UNLABELLED`` documents, the first by hash of doc_id) is bounded; every document is scored
 from its whole text.
 
-Defined cases: a null or empty text has no features and gets the model's bias; a null doc_id is scored but never learnt
+Defined cases: a null or empty text has no features and gets the model's bias; a text of any length is read whole, in pieces; an empty table gives no rows; a null doc_id is scored but never learnt
 from; repeated rows score alike; without a positive label every score is 0; extra columns are ignored by ``score`` and
 kept by ``drop_toxic``.
 """
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialise
 from .textkit import SEPARATOR, Words, chunks, kept_by, slices
 
 #: The most documents of either kind that are learnt from, and the features that are kept.
@@ -104,7 +105,9 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int)
     # Bounded by the two parameters.
     chosen = F.broadcast(chosen.withColumnRenamed("doc_id", "_id"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(chosen, F.col("doc_id") == F.col("_id"))
-    return rows.select("doc_id", "text", "pos"), float(prior or 0.0)
+    # Of rows that share a doc_id the one with the smallest text; written once, as three passes read it.
+    rows = rows.groupBy("doc_id", "pos").agg(F.min("text").alias("text")).select("doc_id", "text", "pos")
+    return materialise(rows, "toxicity-sample"), float(prior or 0.0)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,16 +4,17 @@ Each task writes one archive of gzip members, a record each, to shared storage,
 length, URL, digest. Readers sort the selected index rows of a file by offset, join ranges that lie
 close together to one read of bounded size, and take the records out of it.
 
-Which records are revisits is found on digests alone; the pages are shuffled once, by page_id and digest, to meet that list.
+Which records are revisits is found on digests alone. The pages stay where they are while that list is counted small, else they are shuffled once, by page_id and digest.
 A task that is run again writes a new file, and the index names only the files of tasks that ended well.
 
 Defined cases: a null html is an empty payload; a null url leaves out the target header; a null page_id is kept, and is a response; rows
-that repeat the smallest page_id of their payload are all responses; an empty table gives no archive; extra columns are ignored.
+that repeat the smallest page_id of their payload are all responses; a payload of any length is one record, held whole by its task; an empty table gives no archive; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,12 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_counted
 from .store import materialise, new_path
+from .textkit import slices
 
 #: Payloads of fewer bytes are never revisits.
 LEAST = 100
 #: Ranges with at most so many bytes between them are read at once, up to so many bytes.
 GAP, READ = 1 << 16, 8 << 20
+#: Up to so many revisits are broadcast to the pages; more meet them in a shuffle.
+BROADCAST_ROWS = 50_000
+#: Bytes of records that a reading task is given.
+TASK = 16 << 20
 #: An archive is closed beyond so many bytes.
 ARCHIVE = 512 << 20
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string, refers_to long, payload_bytes long"
@@ -85,15 +92,18 @@ def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n")).where(F.col("n") >= least)
     slim = materialise(slim.select("page_id", "digest"), "digests")
-    first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return slim.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    first = materialise(slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    return join_counted(slim, first, "digest", total).where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
     """Writes the archives under ``folder`` and returns their index, itself written to shared storage."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
-    again = revisits(pages, least).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
+    again = materialise(revisits(pages, least).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to"), "revisits")
+    if again.count() <= BROADCAST_ROWS:  # some 100 bytes each; then the pages stay where they are
+        again = F.broadcast(again)
     rows = rows.join(again, (F.col("page_id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "digest", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +113,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
         try:
             for b in batches:
                 index = []
-                for r in b.to_pylist():
+                for r in (r for part in slices(b, 50) for r in part.to_pylist()):
                     if sink is None or at >= ARCHIVE:
                         if sink:
                             sink.close()
@@ -165,9 +175,10 @@ def read_records(index: DataFrame, folder: str, payload: bool = True) -> DataFra
         if source:
             source.close()
 
-    # A file's rows go to one task for each stretch of READ bytes, in order.
+    # Each stretch of READ bytes of a file goes to one task, in order; there are as many tasks as the records' bytes ask for.
+    total = index.agg(F.sum("length")).first()[0] or 0
     picked = index.select("file", "offset", "length", F.floor(F.col("offset") / READ).alias("stretch"))
-    dealt = picked.repartition("file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    dealt = picked.repartition(max(1, math.ceil(total / TASK)), "file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     return dealt.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 

@@ -45,11 +45,21 @@ def check_packing(rows, texts):
             assert offset == at and length > 0
             at += length
         assert at <= 2048
-    whole = {(d, n): c for (d, n, _), c in want.items()}
-    got = Counter()
+        assert len(parts) <= packing.LIMITS[1]
+    ids_of = defaultdict(list)
+    for doc_id, text in texts:
+        ids_of[doc_id].append(np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4"))
+    tiles = defaultdict(Counter)
     for r in rows:
-        got[r["doc_id"], r["doc_tokens"]] += r["length"]
-    assert got == {k: k[1] * c for k, c in whole.items()}
+        assert any(len(ids) == r["doc_tokens"] and zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for ids in ids_of[r["doc_id"]])
+        tiles[r["doc_id"], r["doc_tokens"]][r["start"]] += 1
+        tiles[r["doc_id"], r["doc_tokens"]][r["start"] + r["length"]] -= 1
+    whole = Counter()
+    for (d, n, _), c in want.items():
+        whole[d, n] += c
+    # as many pieces begin at each inner place as end there, and all of a document's copies begin at 0 and end at its last id
+    assert {k: +t for k, t in tiles.items()} == {k: Counter({0: c}) for k, c in whole.items()}
+    assert {k: -t for k, t in tiles.items()} == {k: Counter({k[1]: c}) for k, c in whole.items()}
     return spans
 
 
@@ -121,18 +131,42 @@ def test_sketch_matches_plain_sets():
     for t, s in zip(texts, whole, strict=True):
         w = t.split()
         want = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-        assert len(s) == len(want)
-        assert np.array_equal(fingerprints.decode(fingerprints.encode(s)), s)
+        assert len(s.hashes) == len(want)
+        back = fingerprints.decode(fingerprints.encode(s))
+        assert np.array_equal(back.hashes, s.hashes) and back.least == s.least
     joined = fingerprints.sketches([b"p q r s t u v w x y z"], 5, 0.5)[0]
-    assert set(fingerprints.sketches([b"p q r s t u v"], 5, 0.5)[0]) <= set(joined) | {min(fingerprints.sketches([b"p q r s t u v"], 5, 1.0)[0])}
+    assert set(fingerprints.sketches([b"p q r s t u v"], 5, 0.5)[0].hashes) <= set(joined.hashes)
     assert fingerprints.containment(whole[0], whole[0]) == 1 and fingerprints.containment(whole[0], whole[2]) == 0
 
 
+def test_union_of_sketches_is_the_sketch_of_both_texts():
+    rng = np.random.default_rng(8)
+    for n, m in ((5, 5), (9, 300), (60, 80)):
+        a, b = (" ".join(f"w{x}" for x in rng.integers(0, 99, k)).encode() for k in (n, m))
+        both = fingerprints.merge(*fingerprints.sketches([a, b]))
+        shingles = {tuple(w[i : i + 5]) for w in (a.split(), b.split()) for i in range(len(w) - 4)}
+        one_by_one = [fingerprints.sketches([b" ".join(s)])[0] for s in shingles]
+        assert set(both.hashes) == {h for s in one_by_one for h in s.hashes} and both.least == min(s.least for s in one_by_one)
+
+
+def test_short_texts_without_a_kept_hash():
+    texts = [t for i in range(60) if not len(fingerprints.sketches([t := f"a{i} b c d e".encode()])[0].hashes)][:2]
+    a, b = fingerprints.sketches(texts)
+    assert fingerprints.encode(a).startswith("~") and fingerprints.encode(a) != fingerprints.encode(b)
+    assert fingerprints.containment(a, a) == 1 and fingerprints.containment(a, b) == 0 and len(fingerprints.merge(a, b).hashes) == 0
+    back = fingerprints.decode(fingerprints.encode(a))
+    assert back.least == a.least and not len(back.hashes)
+
+
 def test_sketch_of_cut_text(monkeypatch):
     text = " ".join(f"w{i}" for i in range(5000)).encode()
-    want = fingerprints.sketches([text])[0]
+    long_words = b" ".join(bytes([97 + i]) * 1200 for i in range(9))
+    texts = [text, text + b" " * 3000, long_words, long_words[:2500]]
+    want = fingerprints.sketches(texts, 5, 1.0)
     monkeypatch.setattr(textkit, "CHUNK", 997)
-    assert np.array_equal(fingerprints.sketches([text])[0], want)
+    for s, w in zip(fingerprints.sketches(texts, 5, 1.0), want, strict=True):
+        assert np.array_equal(s.hashes, w.hashes) and s.least == w.least
+    assert np.array_equal(want[0].hashes, want[1].hashes)
 
 
 @pytest.mark.parametrize("per_bucket", [1, 3, 1000])
@@ -234,6 +268,32 @@ def test_tree_splits_exactly(spark):
     assert shares.sum(1).tolist() == q and (shares >= 0).all() and np.ptp(shares.sum(0)) <= 1
 
 
+def test_permuted_order_in_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(s, b, int(rng.integers(0, 50)), n) for s, n in (("a", 90), (None, 40), ("b", 1)) for b in range(n)]
+    table = spark.createDataFrame(rows, "source string, block int, block_words long, n_blocks int")
+    whole = {(r["source"], r["block"]): (r["place"], r["before"]) for r in mixing.permuted(table).collect()}
+    monkeypatch.setattr(mixing, "RANGE", 8)
+    cut = {(r["source"], r["block"]): (r["place"], r["before"]) for r in mixing.permuted(table).collect()}
+    assert cut == whole
+    words = {(s, b): w for s, b, w, _ in rows}
+    for source in ("a", None, "b"):
+        order = sorted((p, k) for k, (p, _) in whole.items() if k[0] == source)
+        assert [p for p, _ in order] == list(range(len(order)))
+        at = 0
+        for _, k in order:
+            assert whole[k][1] == at
+            at += words[k]
+
+
+def test_tree_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    q = [int(x) for x in np.random.default_rng(6).integers(0, 60, 23)]
+    rows = mixing.split_quotas(spark.createDataFrame(list(enumerate(q)), "ordinal int, quota long"), 8).collect()
+    shares = np.array([np.diff([0, *r["ends"]]) for r in sorted(rows, key=lambda r: r["ordinal"])])
+    assert shares.sum(1).tolist() == q and (shares >= 0).all() and np.ptp(shares.sum(0)) <= 1
+
+
 # ---- SimHash
 
 
@@ -309,6 +369,29 @@ def test_links_keep_all_components(spark, dense):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_crowded_cells_are_refined(spark):
+    """Fingerprints that are crowded in the coarse cells, and some that swap bits within segments, so that fine cells are crowded too."""
+    rng = np.random.default_rng(7)
+    base = int(rng.integers(0, 1 << 62))
+    fps = {base ^ (1 << int(i)) ^ (1 << int(j)) ^ (1 << int(k)) for i, j, k in rng.integers(0, 62, (400, 3))}
+    fps |= {sum(1 << (2 * s + (n >> s & 1)) for s in range(31)) for n in range(300)}
+    table = spark.createDataFrame([(f,) for f in fps], "fp long")
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(table, len(fps), dense=20)).collect()}
+    want = brute_components([(f, f) for f in fps])
+    groups, same = defaultdict(set), defaultdict(set)
+    for f in fps:
+        groups[got.get(f, f)].add(f)
+        same[want[f]].add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, same.values()))
+
+
+def test_a_component_without_doc_ids_keeps_one_row(spark):
+    text = "some words of a text that is long enough to have a few shingles in it"
+    d = spark.createDataFrame([(None, text, "a"), (None, text, "b"), (None, text.upper(), "c"), (4, "other words", "d"), (4, "other words", "e")], "doc_id long, text string, x string")
+    first, again = (sorted(map(str, simhash.deduplicate(d.repartition(n)).collect())) for n in (1, 3))
+    assert len(first) == 2 and first == again
+
+
 def test_manhattan_is_a_lower_bound():
     rng = np.random.default_rng(5)
     a, b = (rng.integers(0, 1 << 63, 5000, dtype=np.uint64) for _ in range(2))
@@ -349,6 +432,16 @@ def test_cascade_is_exact(spark):
     assert "Join" not in universe.where(cascade.lists(F.col("key")))._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("most", [64, 4096, 1 << 26])
+def test_lists_over_the_filter_bound_stay_exact(spark, most):
+    rules = [("block", f"h{i}.com", "/a") for i in range(200)] + [("allow", "com", "/")]
+    urls = [f"http://h{i}.com/{p}" for i in range(400) for p in ("a/1", "b")] * 2 + [None, "http://" + "x" * 5000 + ".com/a"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, rules, default="none", most=most).collect()}
+    listed = {f"http://h{i}.com/a/1" for i in range(200)}
+    assert got == {i: "none" if u is None else "block" if u in listed else "allow" for i, u in enumerate(urls)}
+
+
 # ---- toxicity
 
 
@@ -378,6 +471,32 @@ def test_risk_correction_finds_hidden_positives():
     assert ((feature(1000, toxic) @ w + b) > 0).mean() > 0.7 and ((feature(1000, clean) @ w + b) > 0).mean() < 0.15
 
 
+def test_risk_and_gradient_by_hand():
+    """One step of the trainer against the non-negative risk in plain Python."""
+    from math import exp, log
+
+    pos, unl, prior = [[1, 0], [1, 1]], [[0, 1], [1, 0], [0, 0]], 0.4
+    loss = lambda z: log(1 + exp(-z))
+
+    def risk(w):
+        g = lambda x: w[0] * x[0] + w[1] * x[1] + w[2]
+        negative = sum(loss(-g(x)) for x in unl) / 3 - prior * sum(loss(-g(x)) for x in pos) / 2
+        return (prior * sum(loss(g(x)) for x in pos) / 2 + negative) if negative >= 0 else -negative
+
+    start = [0.0, 0.0, log(prior / (1 - prior))]
+    slope = [(risk([w + (1e-6 if i == j else 0) for j, w in enumerate(start)]) - risk([w - (1e-6 if i == j else 0) for j, w in enumerate(start)])) / 2e-6 for i in range(3)]
+    w, b = toxicity.fit(np.array(pos, np.float64), np.array(unl, np.float64), prior, steps=1, rate=0.1, decay=0.0)
+    # the first step of Adam goes its whole rate against the sign of the gradient
+    assert np.allclose([*w, b], [x - 0.1 * np.sign(s) for x, s in zip(start, slope, strict=True)], atol=1e-4)
+
+
+def test_repeated_rows_are_learnt_from_once(spark):
+    rows = [(1, "bad words here")] * 50 + [(i, f"good text {i}") for i in range(2, 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sample, _ = toxicity.sample(d, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), 10, 100)
+    assert sample.where("pos = 1").count() <= 1 and sample.groupBy("doc_id", "pos").count().where("count > 1").count() == 0
+
+
 # ---- WARC
 
 
@@ -455,9 +574,39 @@ def test_language_edges(edge_docs, monkeypatch):
     assert len(rows) == 11
     assert all((r["lang_pred"] == "und") == (r["doc_id"] in (2, 3, 4)) and 0 <= r["score"] <= 1 for r in rows)
     text = edge_docs.where("doc_id = 5").first()["text"]
-    whole = profiles.predict([text, "und der"])
-    monkeypatch.setattr(language, "CHARACTERS", 10**9)
-    assert profiles.predict([text, "und der"])[0] == whole[0]
+    texts = [text, "und der", "x" * 5000, "漢字 と 仮名"]
+    whole = profiles.predict(texts)
+    monkeypatch.setattr(language, "CHARACTERS", 101)
+    assert profiles.predict(texts) == whole
+
+
+def plain_grams(text):
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    marked = " " + " ".join(words) + " "
+    found = Counter(marked[i : i + n] for n in (1, 2, 3) for i in range(len(marked) - n + 1)) if words else Counter()
+    return Counter({g: n for g, n in found.items() if g != " " and not (len(g) == 3 and g[1] == " ")})
+
+
+def test_language_is_out_of_place_distance(spark):
+    """Against the definition in plain Python, with ties by code point, the mark after all letters."""
+    d = spark.read.parquet(f"{DATA}/documents.parquet")
+    order = lambda g: [0] * (3 - len(g)) + [0x110000 if c == " " else ord(c) for c in g]
+    top = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], order(x[0])))[:300]]
+    profiles = language.learn(d, sample=10**6)
+    totals = defaultdict(Counter)
+    for r in d.where(F.col("lang").isNotNull()).collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            totals[r["lang"]] += plain_grams(r["text"] or "")
+    ranks = {lang: {g: i for i, g in enumerate(top(c))} for lang, c in totals.items()}
+    for r in d.limit(60).collect() + [{"text": "xyz"}, {"text": "漢字"}]:
+        own = top(plain_grams(r["text"] or ""))
+        name, score = profiles.predict([r["text"] or ""])
+        if not own:
+            assert (name, score) == (["und"], [0.0])
+            continue
+        far = {lang: sum(abs(i - known[g]) if g in known else 300 for i, g in enumerate(own)) for lang, known in ranks.items()}
+        best = min(sorted(far), key=far.get)
+        assert name == [best] and score[0] == pytest.approx(1 - far[best] / (300 * len(own)))
 
 
 # ---- all
