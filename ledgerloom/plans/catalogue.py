@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..operators import evaluation, history, hypotheses, pages, parties, references, spatial, support, validation
 from ..sources import readers
 from ..streaming import feedback
-from . import scalars  # noqa: F401  (enters its queries)
+from . import judged, ordered, scalars  # noqa: F401  (enter their queries)
 from .registry import ORACLE_SQL, QUERIES, query, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -204,7 +204,7 @@ def fuzzy_top2_margin(spark, sf):
     return parties.close_match(c, table(spark, sf, "supplier").select(F.col("s_name").alias("known"), F.col("s_nationkey").alias("nation")), "nation")
 
 
-@query(f"SELECT doc_id, sha256(trim(regexp_replace(translate(lower(coalesce(text, '')), '{T.ACCENTED}', '{T.PLAIN}'), '[^a-z0-9]+', ' ', 'g'))) AS folded_sha256 FROM documents")
+@query(f"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^\\x00-\\x7F]+', '', 'g'), '[^a-z0-9]+', ' ', 'g'))) AS folded_sha256 FROM documents")
 def text_fold(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(T.fold(F.col("text")), 256).alias("folded_sha256"))
 

@@ -185,7 +185,7 @@ def box_measures(spark, sf):
 
 @query("SELECT event_id, sha256('{\"event_type\":\"' || event_type || '\",\"props\":' || to_json(props) || ',\"user_id\":' || user_id || '}') AS digest FROM events")
 def canonical_digest(spark, sf):
-    return table(spark, sf, "events").select("event_id", T.digest(F.col("event_type"), F.col("props"), F.col("user_id")).alias("digest"))
+    return table(spark, sf, "events").select("event_id", T.digest(user_id=F.col("user_id"), props=F.col("props"), event_type=F.col("event_type")).alias("digest"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(lower(text), 'license')) AS hits FROM documents WHERE contains(lower(text), 'license')")
