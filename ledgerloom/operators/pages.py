@@ -1,87 +1,128 @@
-"""Text of pages: entities, labels, languages, kinds of page, continuation."""
+"""What the text of pages holds: entities with guards, labelled values, structured values, coordinates for text that has none."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Patterns that Java and RE2 read alike.
-ENTITIES = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "phone": r"\+?[0-9]{1,3}[ .]?\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})+",
-    "percent": r"[0-9]+(?:[.,][0-9]+)? ?%",
-    "date": r"[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    "amount": r"[0-9]+[.,][0-9]{2} ?(?:EUR|€|USD|\$)",
-}
-
-VOCABULARY = {"en": ("the", "and", "of", "with", "that"), "fr": ("le", "la", "les", "et", "dans"), "de": ("der", "die", "und", "mit", "das"), "es": ("el", "los", "y", "que", "para")}
+from ..functions.identifiers import plausible_phone
+from ..functions.judgements import any_of
+from ..functions.text import fold_spaces, squeezed
 
-#: Words that speak for a kind of page, with their weight.
-KINDS = {
-    "license": (("license", 3.0), ("licensed", 3.0), ("copyright", 2.0), ("version", 1.0)),
-    "contact": (("email", 2.0), ("phone", 2.0), ("contact", 2.0)),
-    "table": (("|", 1.0),),
-    "code": (("###", 1.5), ("$$$", 1.5)),
+#: Patterns that Java and RE2 read alike, and the confidence of each kind (fixed values).
+ENTITIES = {
+    "EMAIL": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 0.99),
+    "URL": (r"(?i)https?://[^\s<>()]+", 0.99),
+    "IBAN": (r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", 0.98),
+    "DATE": (r"\b(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4})\b", 0.90),
+    "AMOUNT": (r"(?:(?:EUR|USD|GBP|CHF|[€$£]) ?)?[+-]?[0-9]+(?:[ .'][0-9]{3})*[.,][0-9]{2}\b(?: ?(?:EUR|USD|GBP|CHF|[€$£]))?", 0.90),
+    "PERCENT": (r"\b[0-9]+(?:[.,][0-9]+)? ?%", 0.95),
+    "PHONE": (r"\+?[0-9][0-9 .()-]{5,18}[0-9]", 0.75),
 }
-
-
-def entities(docs: DataFrame, kinds: dict[str, str] = ENTITIES) -> DataFrame:
-    """(doc_id, kind, value, n) of every entity found."""
-    parts = [F.transform(F.regexp_extract_all(F.col("text"), F.lit(p), 0), _tagged(k)) for k, p in kinds.items()]
-    found = F.concat(*parts)
-    return docs.select("doc_id", F.explode(found).alias("e")).groupBy("doc_id", "e.kind", "e.value").agg(F.count("*").alias("n"))
-
-
-def _tagged(kind: str):
-    return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
-
-
-def key_values(docs: DataFrame) -> DataFrame:
-    """(doc_id, ix, label, value) of lines that read ``label: value``."""
-    pattern = r"^\s*([A-Za-z][A-Za-z0-9 _-]{0,40}?)\s*:\s+(\S.*?)\s*$"
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ix", "line")).where(F.col("line").rlike(pattern))
-    return lines.select("doc_id", "ix", F.regexp_extract("line", pattern, 1).alias("label"), F.regexp_extract("line", pattern, 2).alias("value"))
-
-
-def words(text: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^a-zà-ÿ]+", " ")), " ")
-
-
-def language_scores(docs: DataFrame) -> DataFrame:
-    """(doc_id, language, hits): words of each language's short list."""
-    w = docs.select("doc_id", words(F.col("text")).alias("w"))
-    hits = F.array(*(F.struct(F.lit(k).alias("language"), F.size(F.filter("w", _within(v))).alias("hits")) for k, v in VOCABULARY.items()))
-    return w.select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.*")
-
-
-def _within(known):
-    return lambda x: x.isin(*known)
-
-
-def best_language(scores: DataFrame) -> DataFrame:
-    """The language with most hits, null on a tie or none."""
-    order = W.partitionBy("doc_id").orderBy(F.desc("hits"), "language")
-    first = scores.withColumn("n", F.row_number().over(order)).withColumn("second", F.lead("hits").over(order)).where("n = 1")
-    return first.select("doc_id", F.when((F.col("hits") > 0) & (F.col("hits") > F.col("second")), F.col("language")).alias("language"), "hits")
-
-
-def kind_scores(docs: DataFrame, kinds=KINDS) -> DataFrame:
-    """(doc_id, kind, score) where a kind's words occur at all, each word counted up to five times."""
-    low = F.lower(F.col("text"))
-    count = lambda term: (F.length(low) - F.length(F.replace(low, F.lit(term), F.lit("")))) / len(term)
-    scored = F.array(*(F.struct(F.lit(k).alias("kind"), sum((w * F.least(count(t), F.lit(5.0)) for t, w in terms), F.lit(0.0)).alias("score")) for k, terms in kinds.items()))
-    return docs.select("doc_id", F.explode(scored).alias("s")).select("doc_id", "s.*").where("score > 0")
-
-
-def page_kind(scores: DataFrame) -> DataFrame:
-    """The best kind, with a confidence from its score and its lead; ``generic`` below 1.5."""
-    order = W.partitionBy("doc_id").orderBy(F.desc("score"), "kind")
-    first = scores.withColumn("n", F.row_number().over(order)).withColumn("second", F.coalesce(F.lead("score").over(order), F.lit(0.0))).where("n = 1")
-    top = F.col("score")
-    lead = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (top - F.col("second")) / F.greatest(top, F.lit(1.0))))
-    value = F.greatest(F.lit(0.35), F.least(F.lit(0.995), 0.62 * F.least(F.lit(1.0), top / 10) + 0.38 * lead))
-    return first.select("doc_id", F.when(top < 1.5, "generic").otherwise(F.col("kind")).alias("kind"), F.round(F.when(top < 1.5, 0.45).otherwise(value), 4).alias("confidence"))
+#: What, beside a number, shows that it is no phone; what shows that a number is money.
+REGISTRATION = ("siret", "rcs", "tva", "vat", "iban", "bic", "ape", "capital")
+MONEY = ("eur", "usd", "gbp", "chf", "€", "$", "£", "montant", "prix", "euros", "dollars")
+MOST_ENTITIES, MOST_PAIRS, MOST_PATHS = 5000, 1000, 2000
+
+
+def around(text: Column, pattern: str, radius: int) -> Column:
+    """Array of (value, context) of a pattern's hits: the context has up to ``radius`` characters on both sides."""
+    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+    pieces = F.split(text, pattern)  # what lies between hits: one more than hits
+    near = lambda i: F.concat(F.right(F.get(pieces, i), F.lit(radius)), F.lit(" "), F.left(F.coalesce(F.get(pieces, i + 1), F.lit("")), F.lit(radius)))
+    return F.transform(hits, lambda v, i: F.struct(F.trim(v).alias("value"), near(i).alias("context")))
+
+
+def entities(blocks: DataFrame, limit: int = MOST_ENTITIES) -> DataFrame:
+    """(doc_id, ix, label, value, confidence): the distinct entities of each page of blocks (doc_id, ix, page, text, page_kind), the first ``limit`` of a document.
+
+    A phone is plausible and stands beside no registration; on a page of legal terms an amount needs money beside it and is no clause number.
+    """
+    found = []
+    for label, (pattern, confidence) in ENTITIES.items():
+        hits = around(F.col("text"), pattern, 28)
+        if label == "PHONE":
+            hits = F.filter(hits, lambda h: plausible_phone(h["value"]) & ~any_of(fold_spaces(h["context"]), REGISTRATION))
+        if label == "AMOUNT":
+            hits = F.filter(hits, lambda h: (F.coalesce("page_kind", F.lit("")) != "legal_terms") | (any_of(F.lower(F.concat(h["value"], h["context"])), MONEY) & ~h["value"].rlike("^[0-9]{1,2}[.][0-9]{1,2}$")))
+        found.append(F.transform(hits, _tagged(label, confidence)))
+    rows = blocks.select("doc_id", "ix", "page", F.posexplode(F.concat(*found)).alias("at", "e")).select("doc_id", "ix", "page", "at", "e.*")
+    first = rows.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "page", "label", "value").orderBy("ix", "at"))).where("_n = 1").drop("_n")
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("ix", "at"))
+    return first.withColumn("_place", place).where(F.col("_place") <= limit).select("doc_id", "ix", "label", "value", "confidence")
+
+
+def _tagged(label: str, confidence: float):
+    return lambda h: F.struct(F.lit(label).alias("label"), h["value"].alias("value"), F.lit(confidence).alias("confidence"))
+
+
+def key_values(blocks: DataFrame, cells: DataFrame, limit: int = MOST_PAIRS) -> DataFrame:
+    """(doc_id, label, value, confidence): lines that read ``label: value`` or ``label = value``, and table rows of two cells; each pair once a document.
+
+    ``blocks`` has doc_id, ix, text; ``cells`` has doc_id, table, row, column, text.
+    """
+    lines = blocks.select("doc_id", "ix", F.posexplode(F.split("text", r"\r?\n")).alias("at", "line")).withColumn("line", squeezed(F.col("line")))
+    pattern = lambda sign: f"^([^{sign}]{{2,80}}?) ?{sign} ?(.{{1,500}})$"
+    pick = lambda i: F.when(F.col("line").rlike(pattern(":")), F.regexp_extract("line", pattern(":"), i)).when(F.col("line").rlike(pattern("=")), F.regexp_extract("line", pattern("="), i))
+    printed = lines.select("doc_id", F.lit(0).alias("part"), "ix", "at", F.trim(pick(1)).alias("label"), F.trim(pick(2)).alias("value"), F.lit(0.95).alias("confidence"))
+    there = F.trim(F.coalesce("text", F.lit(""))) != ""
+    pairs = cells.where(there).groupBy("doc_id", "table", "row").agg(F.sort_array(F.collect_list(F.struct("column", F.trim("text").alias("text")))).alias("c")).where(F.array_size("c") == 2)
+    tabled = pairs.select("doc_id", F.lit(1).alias("part"), F.col("table").alias("ix"), F.col("row").alias("at"), F.col("c")[0]["text"].alias("label"), F.col("c")[1]["text"].alias("value"), F.lit(0.90).alias("confidence")).where(F.length("label").between(2, 100))
+    rows = printed.unionByName(tabled).where("label <> '' AND value <> ''")
+    order = W.partitionBy("doc_id", F.lower("label"), "value").orderBy("part", "ix", "at")
+    first = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("part", "ix", "at"))
+    return first.withColumn("_place", place).where(F.col("_place") <= limit).select("doc_id", "label", "value", "confidence")
+
+
+def json_tree(rows: DataFrame, key: str, column: str, limit: int = MOST_PATHS, skip_private: bool = False) -> DataFrame:
+    """(key, path, value) of all scalars of JSON documents, however deep: ``a.b[0].c``; nulls are left out, bad JSON gives no row.
+
+    ``skip_private`` leaves out keys that begin with an underscore and ``spatial``, as comparisons do.
+    """
+
+    def walk(value, path: str) -> Iterator[tuple[str, str]]:
+        if isinstance(value, dict):
+            for k, v in value.items():
+                if not (skip_private and (k == "spatial" or k.startswith("_"))):
+                    yield from walk(v, f"{path}.{k}" if path else k)
+        elif isinstance(value, list):
+            for i, v in enumerate(value):
+                yield from walk(v, f"{path}[{i}]")
+        elif value is not None and path:
+            yield path, value if isinstance(value, str) else json.dumps(value)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, text in zip(b["key"], b["text"], strict=True):
+                try:
+                    tree = json.loads(text) if text is not None else None
+                except ValueError:
+                    continue
+                out += [(k, p, v) for (p, v), _ in zip(walk(tree, ""), range(limit), strict=False)]
+            yield pd.DataFrame(out, columns=["key", "path", "value"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    flat = rows.select(F.col(key).alias("key"), F.col(column).alias("text")).mapInPandas(run, f"key {kind}, path string, value string")
+    return flat.withColumnRenamed("key", key)
+
+
+def synthetic_words(blocks: DataFrame) -> DataFrame:
+    """(doc_id, line, place, text, x0, y0, x1, y1): words of blocks (doc_id, ix, text) laid out on lines of 16 units, six units a character and five between."""
+    there = blocks.where(F.trim("text") != "")
+    line = F.row_number().over(W.partitionBy("doc_id").orderBy("ix")) - 1
+    words = F.filter(F.split(squeezed(F.col("text")), " "), lambda w: w != "")
+    rows = there.withColumn("line", line).select("doc_id", "line", F.posexplode(words).alias("place", "text"))
+    width = F.greatest(F.lit(8.0), F.length("text") * 6.0)
+    before = F.coalesce(F.sum(width + 5.0).over(W.partitionBy("doc_id", "line").orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    x0, y0 = 10.0 + before, 10.0 + 16.0 * F.col("line")
+    return rows.select("doc_id", "line", "place", "text", x0.alias("x0"), y0.alias("y0"), (x0 + width).alias("x1"), (y0 + 10.0).alias("y1"))
 
 
 def continuation(pages: DataFrame) -> DataFrame:

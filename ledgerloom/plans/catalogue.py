@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..operators import evaluation, history, hypotheses, pages, parties, references, spatial, support, validation
 from ..sources import readers
 from ..streaming import feedback
-from . import judged, ordered, scalars  # noqa: F401  (enter their queries)
+from . import judged, ordered, paged, scalars  # noqa: F401  (enter their queries)
 from .registry import ORACLE_SQL, QUERIES, query, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -209,60 +209,6 @@ def text_fold(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(T.fold(F.col("text")), 256).alias("folded_sha256"))
 
 
-def _entity_sql(kind: str) -> str:
-    p = pages.ENTITIES[kind].replace("'", "''")
-    return f"SELECT doc_id, '{kind}' AS kind, value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents) GROUP BY ALL"
-
-
-def _entity(kind: str):
-    def run(spark, sf):
-        return pages.entities(table(spark, sf, "documents"), {kind: pages.ENTITIES[kind]})
-
-    run.__name__ = f"entity_{kind}"
-    return query(_entity_sql(kind))(run)
-
-
-for _kind in pages.ENTITIES:
-    _entity(_kind)
-
-
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ix FROM documents)
-SELECT doc_id, CAST(ix AS INT) AS ix, regexp_extract(line, '^\s*([A-Za-z][A-Za-z0-9 _-]{0,40}?)\s*:\s+(\S.*?)\s*$', 1) AS label, regexp_extract(line, '^\s*([A-Za-z][A-Za-z0-9 _-]{0,40}?)\s*:\s+(\S.*?)\s*$', 2) AS value
-FROM l WHERE regexp_matches(line, '^\s*([A-Za-z][A-Za-z0-9 _-]{0,40}?)\s*:\s+(\S.*?)\s*$')""")
-def key_values(spark, sf):
-    return pages.key_values(table(spark, sf, "documents"))
-
-
-_LANG = "WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-zà-ÿ]+', ' ', 'g')), ' ') AS w FROM documents), h AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS language, len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in v)}))) AS hits FROM w" for k, v in pages.VOCABULARY.items()) + ")"
-
-
-@query(_LANG + " SELECT doc_id, language, CAST(hits AS INT) AS hits FROM h")
-def language_vocabulary(spark, sf):
-    return pages.language_scores(table(spark, sf, "documents"))
-
-
-@query(_LANG + " SELECT doc_id, CASE WHEN hits > 0 AND hits > second THEN language END AS language, CAST(hits AS INT) AS hits FROM (SELECT *, lead(hits) OVER w AS second, row_number() OVER w AS n FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY hits DESC, language)) WHERE n = 1")
-def language_best(spark, sf):
-    return pages.best_language(pages.language_scores(table(spark, sf, "documents")))
-
-
-def _kinds_sql() -> str:
-    one = lambda k, terms: f"SELECT doc_id, '{k}' AS kind, " + " + ".join(f"{w}::DOUBLE * least((length(t) - length(replace(t, '{x}', ''))) / {len(x)}, 5.0)" for x, w in terms) + " AS score FROM d"
-    return "WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), s AS (SELECT * FROM (" + " UNION ALL ".join(one(k, t) for k, t in pages.KINDS.items()) + ") WHERE score > 0)"
-
-
-@query(_kinds_sql() + " SELECT doc_id, kind, score FROM s")
-def page_type_scores(spark, sf):
-    return pages.kind_scores(table(spark, sf, "documents"))
-
-
-@query(_kinds_sql() + """ SELECT doc_id, CASE WHEN score < 1.5 THEN 'generic' ELSE kind END AS kind,
-round(CASE WHEN score < 1.5 THEN 0.45::DOUBLE ELSE greatest(0.35::DOUBLE, least(0.995::DOUBLE, 0.62::DOUBLE * least(1, score / 10) + 0.38::DOUBLE * greatest(0, least(1, (score - second) / greatest(score, 1))))) END, 4) AS confidence
-FROM (SELECT *, coalesce(lead(score) OVER w, 0) AS second, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, kind)) WHERE n = 1""")
-def document_type(spark, sf):
-    return pages.page_kind(pages.kind_scores(table(spark, sf, "documents")))
-
-
 @query("""WITH c AS (SELECT conv_id AS doc_id, turn AS page, role AS kind, CASE WHEN role <> lag(role) OVER w OR turn - lag(turn) OVER w > 1 OR lag(role) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY page) AS BIGINT) AS run FROM c)
 SELECT doc_id, run, kind, min(page) AS first_page, max(page) AS last_page, count(*) AS n FROM r GROUP BY doc_id, run, kind""")
@@ -296,11 +242,6 @@ def html_tables(spark, sf):
     return readers.html_tables(table(spark, sf, "pages"))
 
 
-@query("SELECT event_id, unnest(json_keys(props)) AS path, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events")
-def json_flatten(spark, sf):
-    return readers.json_paths(table(spark, sf, "events"), "event_id", "props")
-
-
 @query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")
 def latest_revision(spark, sf):
     return history.latest_revision(table(spark, sf, "conversations"), "conv_id", "turn")

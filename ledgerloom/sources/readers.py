@@ -83,12 +83,6 @@ def html_tables(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, table int, row int, column int, text string")
 
 
-def json_paths(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, path, value) of the fields of JSON objects, one level deep."""
-    fields = F.from_json(F.col(column), "map<string,string>")
-    return rows.select(key, F.explode(fields).alias("path", "value"))
-
-
 def delimited(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Semicolon-separated files with a header, as the master lists and audits come."""
     return spark.read.schema(schema).option("sep", ";").option("header", True).csv(path)

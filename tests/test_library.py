@@ -42,11 +42,6 @@ def test_boxes(spark):
     assert round(out["iou"], 2) == 0.64
 
 
-def test_tie_gives_no_language(spark):
-    docs = spark.createDataFrame([(1, "the le"), (2, "the and le")], "doc_id long, text string")
-    assert {r["doc_id"]: r["language"] for r in pages.best_language(pages.language_scores(docs)).collect()} == {1: None, 2: "en"}
-
-
 def test_split_is_stable(spark):
     a = evaluation.hash_split(spark.range(500).withColumnRenamed("id", "doc_id"))
     b = evaluation.hash_split(spark.range(300).withColumnRenamed("id", "doc_id"))
