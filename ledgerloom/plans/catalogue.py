@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..operators import evaluation, history, hypotheses, pages, parties, references, spatial, support, validation
 from ..sources import readers
 from ..streaming import feedback
-from . import judged, ordered, paged, scalars  # noqa: F401  (enter their queries)
+from . import judged, ordered, paged, scalars, scored, stored  # noqa: F401  (enter their queries)
 from .registry import ORACLE_SQL, QUERIES, query, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
