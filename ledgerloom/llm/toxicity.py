@@ -33,10 +33,11 @@ from .textkit import SEPARATOR, Words, chunks, kept_by, slices
 
 #: The most documents of either kind that are learnt from, and the features that are kept.
 POSITIVES, UNLABELLED, FEATURES = 4000, 8000, 2048
+#: These, the beginnings and the decay were chosen on training rows alone: learnt from those whose crc32 mod 5 is 2, 3 or 4, measured on those where it is 1.
 #: A feature must occur in so many positives of the sample, and so large a share of its documents be toxic.
 LEAST, SHARE = 5, 0.5
 #: Word beginnings of these many bytes are features besides the words.
-BEGINNINGS = (3, 4, 5, 6, 7, 8, 10)
+BEGINNINGS = (4, 6, 8)
 STEPS, RATE, DECAY = 600, 0.05, 1e-3
 _BLOOM = 20
 
@@ -96,10 +97,11 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int)
     """(doc_id, text, pos) of the documents to learn from, and the class prior."""
     usable = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(usable & F.col("toxic").isNotNull())
-    prior = known.agg(F.avg("toxic")).first()[0]
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(usable)
+    known = known.join(ids.distinct(), "doc_id", "left_semi")
+    prior = known.agg(F.avg("toxic")).first()[0]  # of the documents at hand: an earlier stage may have dropped more of one kind
     order = [F.xxhash64(F.lit(11), "doc_id"), F.col("doc_id")]
-    toxic = known.where("toxic = 1").select("doc_id").distinct().join(ids.distinct(), "doc_id", "left_semi").orderBy(*order).limit(positives)
+    toxic = known.where("toxic = 1").select("doc_id").distinct().orderBy(*order).limit(positives)
     rest = ids.distinct().orderBy(F.xxhash64(F.lit(12), "doc_id"), "doc_id").limit(unlabelled)
     chosen = toxic.select("doc_id", F.lit(1).alias("pos")).unionByName(rest.select("doc_id", F.lit(0).alias("pos")))
     # Bounded by the two parameters.
