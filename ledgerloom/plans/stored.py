@@ -59,7 +59,7 @@ def store_revision_history(spark, sf):
     return S.revision_history(table(spark, sf, "orders").selectExpr(*_REVISION).where("k % 17 <> 0"))
 
 
-_RUN = ["user_id AS run_id", "ts AS moment", "CASE WHEN event_id % 41 = 0 THEN 'finished' WHEN event_id % 43 = 0 THEN 'failed' WHEN event_id % 3 = 0 THEN 'heartbeat' WHEN event_id % 3 = 1 THEN 'claimed' ELSE 'queued' END AS kind", "concat('w', CAST(event_id % 5 AS STRING)) AS worker", "CAST(event_id % 100 AS INT) AS step"]
+_RUN = ["event_id % 400 AS run_id", "ts AS moment", "CASE WHEN event_id % 41 = 0 THEN 'finished' WHEN event_id % 43 = 0 THEN 'failed' WHEN event_id % 3 = 0 THEN 'heartbeat' WHEN event_id % 3 = 1 THEN 'claimed' ELSE 'queued' END AS kind", "concat('w', CAST(event_id % 5 AS STRING)) AS worker", "CAST(event_id % 100 AS INT) AS step"]
 _NOW = "TIMESTAMP '2024-01-20 00:00:00'"
 _STATES = f"""WITH e AS (SELECT {', '.join(_RUN)} FROM events), q AS (SELECT run_id, min(moment) FILTER (kind = 'queued') AS created_at, max(step) FILTER (kind = 'heartbeat') AS steps, arg_min(kind, moment) FILTER (kind IN ('finished', 'failed')) AS ended, arg_max(kind, moment) FILTER (kind NOT IN ('finished', 'failed')) AS live, arg_max(worker, moment) FILTER (kind NOT IN ('finished', 'failed')) AS w, max(moment) FILTER (kind NOT IN ('finished', 'failed')) AS seen FROM e GROUP BY 1),
 s AS (SELECT *, live IN ('claimed', 'heartbeat') AS running, live IN ('claimed', 'heartbeat') AND epoch({_NOW}) - floor(epoch(seen)) > 86400 AS stale FROM q),
