@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold
+from .text import fold, let
 
 #: Short forms at the beginning of a street's name.
 STREETS = {"AV": "AVENUE", "BD": "BOULEVARD", "RTE": "ROUTE", "CHE": "CHEMIN", "CH": "CHEMIN", "IMP": "IMPASSE", "PL": "PLACE", "ALL": "ALLEE", "ZA": "ZONE ACTIVITE", "ZAC": "ZONE ACTIVITE", "ZI": "ZONE INDUSTRIELLE"}
@@ -13,10 +13,14 @@ STREETS = {"AV": "AVENUE", "BD": "BOULEVARD", "RTE": "ROUTE", "CHE": "CHEMIN", "
 
 def part(x: Column) -> Column:
     """Capitals without accents and punctuation; a short form of the street's kind at the beginning is written out."""
-    text = F.upper(fold(x))
-    first = F.substring_index(text, " ", 1)
-    long = F.try_element_at(F.create_map(*(F.lit(v) for pair in STREETS.items() for v in pair)), first)
-    return F.when(long.isNotNull(), F.concat(long, F.substring(text, F.length(first) + 1, F.length(text)))).otherwise(text)
+    kinds = F.create_map(*(F.lit(v) for pair in STREETS.items() for v in pair))
+
+    def spelled(text: Column) -> Column:
+        first = F.substring_index(text, " ", 1)
+        long = F.try_element_at(kinds, first)
+        return F.when(long.isNotNull(), F.concat(long, F.substring(text, F.length(first) + 1, F.length(text)))).otherwise(text)
+
+    return let(F.upper(fold(x)), spelled)
 
 
 def number(x: Column) -> Column:
@@ -26,9 +30,10 @@ def number(x: Column) -> Column:
 
 def key(house: Column, repetition: Column, street: Column, postal_code: Column, city: Column) -> Column:
     """A hash of the five normal parts; null without number, street, five-digit postal code or city."""
-    parts = [number(house), part(repetition), part(street), part(postal_code), part(city)]
-    whole = (parts[0] != "") & (parts[2] != "") & parts[3].rlike("^[0-9]{5}$") & (parts[4] != "")
-    return F.when(whole, F.substring(F.sha2(F.concat_ws("\u001f", *parts), 256), 1, 32))
+    parts = F.array(number(house), part(repetition), part(street), part(postal_code), part(city))
+    there = lambda p, i: F.get(p, F.lit(i)) != ""
+    whole = lambda p: there(p, 0) & there(p, 2) & F.get(p, F.lit(3)).rlike("^[0-9]{5}$") & there(p, 4)
+    return let(parts, lambda p: F.when(whole(p), F.substring(F.sha2(F.array_join(p, "\u001f"), 256), 1, 32)))
 
 
 def departments(postal_code: Column) -> Column:
@@ -48,8 +53,9 @@ def town(x: Column) -> Column:
 def label(*parts: Column) -> Column:
     """The parts that aren't empty, joined by commas; of parts equal but for case, accents and punctuation the first."""
     tidy = F.filter(F.array(*(F.trim(F.regexp_replace(F.coalesce(p, F.lit("")), r"\s+", " ")) for p in parts)), lambda p: p != "")
-    folded = F.transform(tidy, fold)
-    return F.nullif(F.array_join(F.filter(tidy, lambda p, i: F.array_position(folded, F.get(folded, i)) == i + 1), ", "), F.lit(""))
+    kept = lambda both: F.filter(both, lambda b, i: F.array_position(F.transform(both, lambda x: x["key"]), b["key"]) == i + 1)
+    lines = let(F.transform(tidy, lambda p: F.struct(p.alias("line"), fold(p).alias("key"))), kept)
+    return F.nullif(F.array_join(F.transform(lines, lambda b: b["line"]), ", "), F.lit(""))
 
 
 def fingerprint(label_: Column) -> Column:

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 
 def _tables() -> tuple[str, str, dict[str, str]]:
-    """Of the basic plane: characters whose compatibility form without marks is one other character, those characters, and the rest."""
+    """Of the basic plane: characters whose compatibility form without marks is one Latin character, those characters, and characters whose form holds several, some of them Latin."""
     one, to, many = [], [], {}
+    latin = lambda text: any(x.isalnum() and ord(x) < 0x250 for x in text)
     for code in (*range(0xA0, 0xD800), *range(0xF900, 0xFFFE)):
         c = chr(code)
         plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if plain == c or 0xAC00 <= code < 0xD7A4:
+        if plain == c or 0xAC00 <= code < 0xD7A4 or not (latin(plain) or plain.isspace()):
             continue
         if len(plain) == 1:
             one.append(c)
@@ -46,7 +47,7 @@ _SEVERAL = _spans([ord(c) for c in _MANY if ord(c) > 0x2FF]) + "|" + _spans([ord
 
 
 def unmarked(x: Column) -> Column:
-    """Compatibility form without accents and other marks; a null stays null."""
+    """Compatibility form of Latin characters without accents and other marks; marks of other scripts go too; a null stays null."""
     known = F.map_from_arrays(F.split(F.lit("\x01".join(_MANY)), "\x01"), F.split(F.lit("\x01".join(_MANY.values())), "\x01"))
     spelled = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.element_at(known, c), c)), "")
     plain = F.regexp_replace(F.translate(F.when(x.rlike(_SEVERAL), spelled).otherwise(x), _ONE, _TO), r"\p{M}+", "")

@@ -1,4 +1,8 @@
-"""Competing readings of a document's lines: scores, and the one that wins."""
+"""Competing readings of a document's lines: how complete and coherent each is, how it meets the printed total, and the one that wins.
+
+A reading is the lines of one (doc_id, hyp): material, description, quantity, unit_price, net_unit_price, line_total, raw_text, and of its reference
+the status and score. Lines are aggregated once by (doc_id, hyp); all else works on a row a reading.
+"""
 
 from __future__ import annotations
 
@@ -6,42 +10,100 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.judgements import any_of, date_like, fee_kind, words_in
 from ..functions.money import cents
+from ..functions.text import fold, fold_spaces
 
 #: What a reading's method adds to its score (fixed values).
 SOURCE_BONUS = {
     "current": 0.0, "native_table": 0.18, "geometry": 0.08, "receipt_date": 0.27, "amount_only": 0.11, "quantity_first": 0.12, "price_then_quantity": 0.14, "two_row": 0.16,
     "semantic_text": 0.20, "vertical": 0.18, "layout": 0.18, "dual_discount": 0.22, "piece_suffix": 0.18, "material_quantity_unit": 0.18, "material_split": 0.24, "material_numeric": 0.22,
 }
+#: Text that shows a line to be no product; statuses of references that speak against a reading.
+NOISE = ("siret", "no tva", "capital de", "conditions generales", "page ")
+FOOTERS = ("poids", "total hors", "total ht", "reglement")
+SEVERE = ("ALPHA_ONLY", "TEXT_CAPTURE")
 
 
 def total_fit(total: Column, target: Column, with_amount: Column, n: Column) -> Column:
-    """Bonus or penalty for how the lines' sum meets the printed total, by the share of lines that have an amount."""
+    """Bonus or penalty for how the sum of lines and charges meets the printed net total, by the share of lines that have an amount."""
     share = with_amount / F.greatest(n, F.lit(1))
-    error = F.abs(total - target) / F.greatest(F.abs(target), F.lit(1.0))
-    near = F.abs(total - target) <= F.greatest(F.lit(0.03), 0.005 * F.greatest(F.abs(total), F.abs(target), F.lit(1.0)))
-    value = F.when(near, 0.42).when((total >= 0) & (total < target), -0.38 * (1 - total / target)).otherwise(-F.least(F.lit(0.38), 0.24 * error))
-    return F.when((target > 0) & (share >= 0.8), value * share).otherwise(0.0)
-
-
-def score(lines: DataFrame, targets: DataFrame) -> DataFrame:
-    """(doc_id, hyp) with counts, arithmetic share, completeness, total fit and score."""
-    expected = F.col("quantity") * F.col("unit_price")
-    checkable = expected.isNotNull() & F.col("line_total").isNotNull()
-    ok = F.abs(expected - F.col("line_total")) <= F.greatest(F.lit(0.04), 0.006 * F.abs(F.col("line_total")))
-    per = lines.groupBy("doc_id", "hyp").agg(
-        F.count("*").alias("n"), F.count_if(checkable).alias("checked"), F.count_if(checkable & ok).alias("good"), F.count("line_total").alias("with_amount"),
-        F.coalesce(F.sum(cents(F.col("line_total"))).cast("double"), F.lit(0.0)).alias("total"),
-        F.avg((F.col("quantity").isNotNull().cast("int") + F.col("unit_price").isNotNull().cast("int") + F.col("line_total").isNotNull().cast("int")) / 3).alias("complete"),
+    error = F.abs(total - target) / F.greatest(F.abs(target), F.lit(1e-9))
+    value = F.when(meets(total, target), 0.42).when((total >= 0) & (total < target), -0.38 * (1 - total / target)).otherwise(-F.least(F.lit(0.38), 0.24 * error))
+    return F.coalesce(F.when((target > 0) & (share >= 0.8), value * share), F.lit(0.0))
+
+
+def meets(total: Column, target: Column) -> Column:
+    return F.abs(total - target) <= F.greatest(F.lit(0.03), F.abs(target) * 0.005)
+
+
+def measures(lines: DataFrame) -> DataFrame:
+    """The counts of each reading that its quality and score are made of."""
+    c = F.col
+    there = lambda x: F.coalesce(c(x).cast("string"), F.lit("")) != ""
+    core = ("material", "description", "quantity", "unit_price", "line_total")
+    complete = sum((there(x).cast("int") for x in core), F.lit(0)) / len(core)
+    material = F.trim(F.coalesce("material", F.lit("")))
+    compact = (material != "") & (F.length(material) <= 48) & (F.array_size(F.split(material, " +")) <= 2)
+    absurd = sum((F.coalesce(F.abs(c(x)) > 1e9, F.lit(False)).cast("int") for x in ("quantity", "unit_price", "line_total")), F.lit(0))
+    price = F.coalesce("net_unit_price", "unit_price")
+    seen = c("quantity").isNotNull() & price.isNotNull() & c("line_total").isNotNull()
+    fits = F.abs(c("quantity") * price - c("line_total")) <= F.greatest(F.lit(0.03), F.abs("line_total") * 0.01)
+    gross = c("quantity") * c("unit_price")
+    closer = F.abs(gross - c("line_total")) <= F.greatest(F.lit(0.04), F.abs(gross) * 0.006)
+    amount = F.coalesce("line_total", c("quantity") * price)
+    whole, printed = F.concat_ws(" ", "material", "description", "raw_text"), F.concat_ws(" ", "description", "raw_text")
+    noise = F.when(fee_kind(whole).isNotNull() | any_of(fold_spaces(whole), NOISE), 1.0).otherwise(0.0) + F.when(date_like(material), 1.0).otherwise(0.0) + F.when(words_in(fold(printed), FOOTERS), 0.75).otherwise(0.0)
+    assessed = (F.length(F.trim(F.coalesce("description", F.lit("")))) >= 2) & F.coalesce("quantity", "unit_price", "line_total").isNotNull()
+    status = F.coalesce("reference_status", F.lit("MISSING"))
+    eligible = assessed & (status != "MISSING")
+    supported = eligible & (status == "SUPPORTED") & (c("reference_score") >= 0.74)
+    n = F.count_if
+    return lines.groupBy("doc_id", "hyp").agg(
+        F.count("*").alias("n"), F.avg(complete).alias("complete"), n(there("description") & c("description").rlike(r"\p{L}")).alias("described"), n(compact).alias("coded"), n(F.coalesce("quantity", "unit_price", "line_total").isNull()).alias("fragments"), F.sum(absurd).alias("absurd"),
+        n(seen).alias("seen"), n(seen & fits).alias("good"), n(gross.isNotNull() & c("line_total").isNotNull()).alias("checked"), n(gross.isNotNull() & c("line_total").isNotNull() & closer).alias("exact"), F.count(amount).alias("with_amount"), F.coalesce(F.sum(cents(amount)).cast("double"), F.lit(0.0)).alias("line_sum"), F.sum(noise).alias("noise"),
+        n(assessed).alias("assessed"), n(eligible).alias("eligible"), n(supported).alias("supported"), F.coalesce(F.avg(F.when(supported, c("reference_score"))), F.lit(0.0)).alias("support"), n(assessed & status.isin(*SEVERE)).alias("severe"), n(assessed & (status == "ATYPICAL")).alias("atypical"),
     )
-    per = per.join(targets.select("doc_id", "target"), "doc_id", "left").withColumn("coverage", F.col("n") / F.max("n").over(W.partitionBy("doc_id")))
-    arith = F.when(F.col("checked") > 0, F.col("good") / F.col("checked")).otherwise(0.55)
-    bonus = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in SOURCE_BONUS.items() for x in kv)), F.col("hyp")), F.lit(0.0))
-    fit = F.coalesce(total_fit(F.col("total"), F.col("target"), F.col("with_amount"), F.col("n")), F.lit(0.0))
-    return per.select("doc_id", "hyp", "n", arith.alias("arith"), "complete", fit.alias("total_fit"), (0.34 * arith + 0.24 * F.col("complete") + bonus + fit + 0.08 * F.col("coverage")).alias("score"))
+
+
+def set_quality() -> Column:
+    """Quality of a reading by itself, over the columns of ``measures``."""
+    c, n = F.col, F.col("n")
+    arithmetic = F.when(c("seen") > 0, 0.45 * c("good") / c("seen") - 0.55 * (c("seen") - c("good")) / c("seen")).otherwise(0.0)
+    crowd = F.when(n > 12, F.least(F.lit(0.75), (n - 12) * 0.055)).otherwise(0.0)
+    return F.round(1.25 * c("complete") + 0.22 * c("described") / n + 0.15 * c("coded") / n + F.least(n, F.lit(8)) * 0.025 - 0.45 * c("fragments") / n - F.least(F.lit(0.8), c("absurd") * 0.18) + arithmetic - crowd, 6)
+
+
+def score(lines: DataFrame, charges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(doc_id, hyp) with the parts of the score and the score; ``charges`` has doc_id, hyp, amount, ``targets`` doc_id, target."""
+    c = F.col
+    paid = charges.groupBy("doc_id", "hyp").agg(F.count("*").alias("charges"), F.coalesce(F.sum(cents(c("amount"))).cast("double"), F.lit(0.0)).alias("charge_sum"))
+    per = measures(lines).join(paid, ["doc_id", "hyp"], "left").join(targets.select("doc_id", "target"), "doc_id", "left")
+    per = per.withColumns({"charges": F.coalesce("charges", F.lit(0)), "total": c("line_sum") + F.coalesce("charge_sum", F.lit(0.0)), "coverage": c("n") / F.max("n").over(W.partitionBy("doc_id")), "quality": set_quality()})
+    per = per.withColumns({
+        "arith": F.when(c("checked") > 0, c("exact") / c("checked")).otherwise(0.55), "total_fit": total_fit(c("total"), c("target"), c("with_amount"), c("n")), "reconciled": F.coalesce((c("target") > 0) & (c("with_amount") / c("n") >= 0.8) & meets(c("total"), c("target")), F.lit(False)),
+        "pattern": F.when(c("eligible") > 0, 0.14 * c("supported") / c("eligible") * c("support")).otherwise(0.0) - 0.18 * (c("severe") + 0.25 * c("atypical")) / F.greatest(c("assessed"), F.lit(1)),
+    })
+    bonus = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in SOURCE_BONUS.items() for x in kv)), c("hyp")), F.lit(0.0))
+    value = 0.30 * c("quality") + 0.34 * c("arith") + 0.24 * c("complete") + bonus + F.least(F.lit(0.08), 0.02 * c("charges")) + c("pattern") - F.least(F.lit(0.40), 0.5 * c("noise") / c("n")) + c("total_fit") + 0.08 * c("coverage")
+    return per.select("doc_id", "hyp", "n", "quality", "arith", "complete", "pattern", "noise", "total_fit", "reconciled", "supported", value.alias("score"))
+
+
+def partial_rejections(scores: DataFrame) -> DataFrame:
+    """(doc_id, hyp) of readings that drop most of the current one's supported lines without meeting the printed total."""
+    now = scores.where("hyp = 'current'").select("doc_id", F.col("supported").alias("now_supported"), F.col("n").alias("now_n"))
+    rows = scores.where("hyp <> 'current'").join(now, "doc_id")
+    lost = (F.col("now_supported") >= 4) & (F.col("now_supported") - F.col("supported") >= 2) & (F.col("n") / F.greatest("now_n", F.lit(1)) < 0.70) & ~F.col("reconciled")
+    return rows.where(lost).select("doc_id", "hyp")
 
 
 def winner(scores: DataFrame) -> DataFrame:
-    """The best reading of each document; ties go to more lines, then to the first by name."""
-    order = W.partitionBy("doc_id").orderBy(F.desc(F.round("score", 9)), F.desc("n"), "hyp")
-    return scores.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """The best reading of each document that isn't rejected; ties go to more lines, then to the first by name."""
+    kept = scores.join(partial_rejections(scores), ["doc_id", "hyp"], "left_anti")
+    return kept.groupBy("doc_id").agg(F.min_by(F.struct(*(c for c in scores.columns if c != "doc_id")), F.struct(-F.round("score", 9), -F.col("n"), "hyp")).alias("b")).select("doc_id", "b.*")
+
+
+def best_set(lines: DataFrame) -> DataFrame:
+    """The reading of each document with the best quality by itself, ties to more lines (up to 20), then to the first by ``rank``."""
+    per = measures(lines).withColumn("quality", set_quality()).join(lines.groupBy("doc_id", "hyp").agg(F.min("rank").alias("rank")), ["doc_id", "hyp"])
+    return per.groupBy("doc_id").agg(F.min_by(F.struct("hyp", "n", "quality"), F.struct(-F.col("quality"), -F.least("n", F.lit(20)), "rank")).alias("b")).select("doc_id", "b.*")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.judgements import any_of, ladder, leads
-from ..functions.text import ascii_fold, fold_spaces, squeezed
+from ..functions.text import ascii_fold, fold_spaces, let, squeezed
 
 #: Headings that begin a line, in the order in which they are tried.
 HEADINGS = {
@@ -82,30 +82,37 @@ def word_points(low: Column, terms: dict[str, float]) -> Column:
 
 def line_title(line: Column) -> Column:
     """The kind that a line announces as a heading; ``stop`` for legal terms; null if it announces nothing."""
-    plain = squeezed(ascii_fold(line))
-    low = F.lower(plain)
-    link = low.rlike(r"\bwww\.|https?://")
-    number = low.rlike("^commande (no?|num|numero|number|#)[ .:0-9]") | low.rlike("^commande no?$")
-    routed = leads(low, ("facture a", "devis valable", "devis complementaire"))
-    starts = [((leads(low, phrases) | (number if kind == "purchase_order" else F.lit(False))) & ~routed, kind) for kind, phrases in HEADINGS.items()]
-    ends = plain.rlike(r"\b(COMMANDE FOURNISSEUR|COMMANDE ACHAT|BON DE COMMANDE|PURCHASE ORDER)$") | F.contains(low, F.lit("commande regroupee"))
-    numbered = F.regexp_extract(low, r"^(.*?)\bcommande n(?:o|umero)?[^a-z0-9]{0,3}[a-z0-9][a-z0-9._/-]{3,}", 1)
-    inline = low.rlike(r"\bcommande n(o|umero)?[^a-z0-9]{0,3}[a-z0-9][a-z0-9._/-]{3,}") & ~F.endswith(numbered, F.lit("bon de "))
-    mixed = low.rlike(r"(?<!bon de )\bcommande\b.{0,40}\bn(o|umero)?\b") & low.rlike(r"\b[0-9]{4,}\b") & ~low.rlike(r"\b(confirmation|annulation|relance|accuse de reception)\b")
-    price = low.rlike(r"\bdemande de( page)? prix\b")
-    rest = low.rlike(r"\b(abandon|annulation) (de )?reliquat$")
-    return ladder((low == "", None), (leads(low, LEGAL_HEADINGS) & ~link, "stop"), (leads(low, LEGAL_HEADINGS), None), *starts, (ends | inline | mixed, "purchase_order"), (price, "request_for_quotation"), (rest, "generic_document"))
+
+    def judge(v: Column) -> Column:
+        plain, low = v["plain"], v["low"]
+        link = low.rlike(r"\bwww\.|https?://")
+        number = low.rlike("^commande (no?|num|numero|number|#)[ .:0-9]") | low.rlike("^commande no?$")
+        routed = leads(low, ("facture a", "devis valable", "devis complementaire"))
+        starts = [((leads(low, phrases) | (number if kind == "purchase_order" else F.lit(False))) & ~routed, kind) for kind, phrases in HEADINGS.items()]
+        ends = plain.rlike(r"\b(COMMANDE FOURNISSEUR|COMMANDE ACHAT|BON DE COMMANDE|PURCHASE ORDER)$") | F.contains(low, F.lit("commande regroupee"))
+        numbered = F.regexp_extract(low, r"^(.*?)\bcommande n(?:o|umero)?[^a-z0-9]{0,3}[a-z0-9][a-z0-9._/-]{3,}", 1)
+        inline = low.rlike(r"\bcommande n(o|umero)?[^a-z0-9]{0,3}[a-z0-9][a-z0-9._/-]{3,}") & ~F.endswith(numbered, F.lit("bon de "))
+        mixed = low.rlike(r"(?<!bon de )\bcommande\b.{0,40}\bn(o|umero)?\b") & low.rlike(r"\b[0-9]{4,}\b") & ~low.rlike(r"\b(confirmation|annulation|relance|accuse de reception)\b")
+        price = low.rlike(r"\bdemande de( page)? prix\b")
+        rest = low.rlike(r"\b(abandon|annulation) (de )?reliquat$")
+        return ladder((low == "", None), (leads(low, LEGAL_HEADINGS) & ~link, "stop"), (leads(low, LEGAL_HEADINGS), None), *starts, (ends | inline | mixed, "purchase_order"), (price, "request_for_quotation"), (rest, "generic_document"))
+
+    return let(squeezed(ascii_fold(line)), lambda p: let(F.struct(p.alias("plain"), F.lower(p).alias("low")), judge))
 
 
 def title(text: Column) -> Column:
     """The kind that a page's head announces: of a remittance or a cancellation by its phrases, else by the first heading among its lines."""
     raw = F.coalesce(text, F.lit(""))
-    page, head = fold_spaces(F.substr(raw, F.lit(1), F.lit(12000))), fold_spaces(F.substr(raw, F.lit(1), F.lit(1800)))
-    entries = F.regexp_count(F.lower(ascii_fold(F.substr(raw, F.lit(1), F.lit(12000)))), F.lit(r"(?m)^\s*(factf|avoif)\b"))
-    remitted = any_of(page, ("remittance advice", "avis de virement")) | (count_in(page, REMITTANCE) >= 3) | (F.contains(page, F.lit("total virement")) & F.contains(page, F.lit("date de valeur")) & (entries >= 2))
-    cancelled = any_of(head, HEADINGS["order_cancellation"])
-    kinds = F.array_compact(F.transform(F.split(F.substr(raw, F.lit(1), F.lit(1800)), r"\r?\n"), line_title))
-    return F.when(remitted, "remittance_advice").when(cancelled, "order_cancellation").otherwise(F.nullif(F.get(kinds, F.lit(0)), F.lit("stop")))
+    start, head = F.substr(raw, F.lit(1), F.lit(12000)), F.substr(raw, F.lit(1), F.lit(1800))
+
+    def whole(v: Column) -> Column:
+        page, entries = v["page"], F.regexp_count(v["lines"], F.lit(r"(?m)^\s*(factf|avoif)\b"))
+        remitted = any_of(page, ("remittance advice", "avis de virement")) | (count_in(page, REMITTANCE) >= 3) | (F.contains(page, F.lit("total virement")) & F.contains(page, F.lit("date de valeur")) & (entries >= 2))
+        return F.when(remitted, "remittance_advice").when(any_of(v["head"], HEADINGS["order_cancellation"]), "order_cancellation")
+
+    kinds = F.array_compact(F.transform(F.split(head, r"\r?\n"), line_title))
+    of_page = let(F.struct(fold_spaces(start).alias("page"), F.lower(ascii_fold(start)).alias("lines"), fold_spaces(head).alias("head")), whole)
+    return F.coalesce(of_page, F.nullif(F.get(kinds, F.lit(0)), F.lit("stop")))
 
 
 def classify(pages: DataFrame) -> DataFrame:
@@ -150,11 +157,11 @@ def in_documents(pages: DataFrame) -> DataFrame:
 
 def continuation_evidence(text: Column, headers: Column) -> tuple[Column, Column]:
     """Whether a page goes on with an order: strong evidence (its table's headers, or products with prices), and weak (the order's number beside a page count)."""
-    top = fold_spaces(F.substr(F.coalesce(text, F.lit("")), F.lit(1), F.lit(1200)))
     folded = F.transform(F.coalesce(headers, F.array().cast("array<string>")), fold_spaces)
-    hits = sum((F.exists(folded, _holds(t)).cast("int") for t in LINE_HEADERS), F.lit(0))
+    hits = let(folded, lambda h: sum((F.exists(h, _holds(t)).cast("int") for t in LINE_HEADERS), F.lit(0)))
     products = (F.regexp_count(text, F.lit(r"\[[0-9]{10,11}\]")) >= 2) & (F.regexp_count(text, F.lit(r"\b[0-9][0-9 .]*,[0-9]{2}\s*€")) >= 2)
-    numbered = top.rlike(r"\b(cde|commande|purchase order)\b.{0,80}(\b(no?|number)\b|#).{0,80}[0-9]{5,}") & top.rlike(r"\bpage [0-9]+ (sur|of) [0-9]+\b")
+    top = lambda t: t.rlike(r"\b(cde|commande|purchase order)\b.{0,80}(\b(no?|number)\b|#).{0,80}[0-9]{5,}") & t.rlike(r"\bpage [0-9]+ (sur|of) [0-9]+\b")
+    numbered = let(fold_spaces(F.substr(F.coalesce(text, F.lit("")), F.lit(1), F.lit(1200))), top)
     return F.coalesce((hits >= 4) | products, F.lit(False)), F.coalesce(numbered, F.lit(False))
 
 
@@ -193,17 +200,20 @@ def documents(pages: DataFrame) -> DataFrame:
 
 def document_type(text: Column, family: Column) -> Column:
     """The kind of a text without pages: its title, a strong phrase, four weak signs of orders, the signature with most hits, or its family's."""
-    low = F.lower(squeezed(text))
-    hits = F.array(*(F.struct(F.when(count_in(low, terms) >= least, count_in(low, terms)).otherwise(0).alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("kind")) for i, (k, (terms, least)) in enumerate(SIGNATURES.items())))
-    best = F.array_max(hits)
     families = {"spreadsheet": "spreadsheet", "presentation": "presentation", "word": "text_document"}
-    return F.coalesce(title(text), F.when(any_of(low, STRONG_ORDER) | (count_in(low, WEAK_ORDER) >= 4), "purchase_order"), F.when(best["n"] > 0, best["kind"]), F.element_at(F.create_map(*(F.lit(x) for kv in families.items() for x in kv)), family), F.lit("generic_document"))
+
+    def judge(low: Column) -> Column:
+        hits = F.array(*(F.struct(F.when(count_in(low, terms) >= least, count_in(low, terms)).otherwise(0).alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("kind")) for i, (k, (terms, least)) in enumerate(SIGNATURES.items())))
+        best = F.array_max(hits)
+        return F.when(any_of(low, STRONG_ORDER) | (count_in(low, WEAK_ORDER) >= 4), "purchase_order").when(best["n"] > 0, best["kind"])
+
+    return F.coalesce(title(text), let(F.lower(squeezed(text)), judge), F.element_at(F.create_map(*(F.lit(x) for kv in families.items() for x in kv)), family), F.lit("generic_document"))
 
 
 def languages(text: Column) -> Column:
     """Up to three languages with two or more words of their list, most first."""
-    low = F.concat(F.lit(" "), F.lower(squeezed(text)), F.lit(" "))
-    scored = F.array(*(F.struct(count_in(low, [f" {t} " for t in terms]).alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("language")) for i, (k, terms) in enumerate(VOCABULARY.items())))
+    counts = lambda low: F.array(*(F.struct(count_in(low, [f" {t} " for t in terms]).alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("language")) for i, (k, terms) in enumerate(VOCABULARY.items())))
+    scored = let(F.concat(F.lit(" "), F.lower(squeezed(text)), F.lit(" ")), counts)
     return F.transform(F.slice(F.filter(F.sort_array(scored, asc=False), lambda s: s["n"] >= 2), 1, 3), lambda s: s["language"])
 
 

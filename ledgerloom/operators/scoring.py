@@ -10,7 +10,7 @@ from ..functions.boxes import contamination, coverage, iou
 from ..functions.checksums import any_date
 from ..functions.judgements import ladder
 from ..functions.numbers import money
-from ..functions.text import field_value, fold, identifier_small
+from ..functions.text import field_value, fold, identifier_small, let
 
 #: Endings of paths whose values are compared as numbers, dates or identifiers.
 NUMERIC = ("quantity", "unit_price", "line_total", "total_net", "total_tax", "total_gross", "amount")
@@ -45,9 +45,13 @@ def label_metrics(pairs: DataFrame, outside: str = "O", ignored: str = "IGNORED"
 
 def similarity(a: Column, b: Column) -> Column:
     """1 less the edit distance of two values' letters and digits over the longer one; 0 if one is empty."""
-    x, y = field_value(a), field_value(b)
-    longest = F.greatest(F.length(x), F.length(y))
-    return F.when((x == "") | (y == ""), F.when((x == "") & (y == ""), 1.0).otherwise(0.0)).when(x == y, 1.0).otherwise(1.0 - F.levenshtein(x, y) / longest)
+
+    def near(v: Column) -> Column:
+        x, y = v["x"], v["y"]
+        longest = F.greatest(F.length(x), F.length(y))
+        return F.when((x == "") | (y == ""), F.when(x == y, 1.0).otherwise(0.0)).when(x == y, 1.0).otherwise(1.0 - F.levenshtein(x, y) / longest)
+
+    return let(F.struct(field_value(a).alias("x"), field_value(b).alias("y")), near)
 
 
 def value_metrics(records: DataFrame) -> DataFrame:
@@ -121,10 +125,14 @@ def same_value(path: Column, a: Column, b: Column) -> Column:
 def words_f1(a: Column, b: Column) -> Column:
     """F1 of two texts' multisets of words; 1 if both have none."""
     words = lambda c: F.filter(F.split(fold(c), " "), lambda w: w != "")
-    x, y = words(a), words(b)
     of = lambda arr, w: F.array_size(F.filter(arr, lambda v: v == w))
-    shared = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, w: s + F.least(of(x, w), of(y, w)))
-    return F.when((F.array_size(x) == 0) & (F.array_size(y) == 0), 1.0).otherwise(2.0 * shared / (F.array_size(x) + F.array_size(y)))
+
+    def score(v: Column) -> Column:
+        x, y = v["x"], v["y"]
+        shared = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, w: s + F.least(of(x, w), of(y, w)))
+        return F.when((F.array_size(x) == 0) & (F.array_size(y) == 0), 1.0).otherwise(2.0 * shared / (F.array_size(x) + F.array_size(y)))
+
+    return let(F.struct(words(a).alias("x"), words(b).alias("y")), score)
 
 
 def field_details(truth: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -191,10 +199,14 @@ def head_to_head_summary(rows: DataFrame) -> DataFrame:
 def address_verdict(expected: Column, actual: Column) -> Column:
     """INCORRECT if the postal codes have none in common; else by how many of the expected words are there: 0.72 CORRECT, 0.45 PARTIAL."""
     words = lambda c: F.array_distinct(F.filter(F.split(fold(c), " "), lambda w: w != ""))
-    codes = lambda c: F.filter(words(c), lambda w: w.rlike("^[0-9]{5}$"))
-    apart = (F.array_size(codes(expected)) > 0) & (F.array_size(codes(actual)) > 0) & ~F.arrays_overlap(codes(expected), codes(actual))
-    recall = F.array_size(F.array_intersect(words(expected), words(actual))) / F.array_size(words(expected))
-    return ladder((F.array_size(words(expected)) == 0, None), (apart, "INCORRECT"), (recall >= 0.72, "CORRECT"), (recall >= 0.45, "PARTIAL"), otherwise="INCORRECT")
+    codes = lambda w: F.filter(w, lambda x: x.rlike("^[0-9]{5}$"))
+
+    def judge(v: Column) -> Column:
+        apart = (F.array_size(codes(v["e"])) > 0) & (F.array_size(codes(v["a"])) > 0) & ~F.arrays_overlap(codes(v["e"]), codes(v["a"]))
+        recall = F.array_size(F.array_intersect(v["e"], v["a"])) / F.array_size(v["e"])
+        return ladder((F.array_size(v["e"]) == 0, None), (apart, "INCORRECT"), (recall >= 0.72, "CORRECT"), (recall >= 0.45, "PARTIAL"), otherwise="INCORRECT")
+
+    return let(F.struct(words(expected).alias("e"), words(actual).alias("a")), judge)
 
 
 def date_audit(source: Column, model: Column, labelled: Column) -> Column:

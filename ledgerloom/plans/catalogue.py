@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import checksums
 from ..functions import text as T
-from ..operators import evaluation, history, hypotheses, pages, parties, references, spatial, support, validation
+from ..operators import evaluation, history, pages, parties, references, spatial, support, validation
 from ..sources import readers
 from ..streaming import feedback
-from . import judged, ordered, paged, scalars, scored, stored  # noqa: F401  (enter their queries)
+from . import addressed, judged, ordered, paged, readings, scalars, scored, stored  # noqa: F401  (enter their queries)
 from .registry import ORACLE_SQL, QUERIES, query, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -101,38 +101,6 @@ def charge_separation(spark, sf):
     return validation.separate_charges(named, ["ring", "bolt"]).select("doc_id", "ix", "kind")
 
 
-def _readings(spark, sf):
-    """Three readings of each order's lines: all; those without a tax as a native table; quantities off by one by position."""
-    base = lines(spark, sf).join(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ix"), "l_tax").groupBy("doc_id", "ix").agg(F.max("l_tax").alias("tax")), ["doc_id", "ix"])
-    a = base.withColumn("hyp", F.lit("current"))
-    b = base.where("tax > 0.02").withColumn("hyp", F.lit("native_table"))
-    c = base.withColumns({"hyp": F.lit("geometry"), "quantity": F.col("quantity") + 1})
-    return a.unionByName(b).unionByName(c)
-
-
-_READ = f"""WITH base AS (SELECT b.*, tax FROM ({_LINES}) b JOIN (SELECT l_orderkey AS doc_id, l_linenumber AS ix, max(l_tax) AS tax FROM lineitem GROUP BY ALL) USING (doc_id, ix)),
-r AS (SELECT *, 'current' AS hyp FROM base UNION ALL SELECT *, 'native_table' FROM base WHERE tax > 0.02 UNION ALL SELECT * REPLACE (quantity + 1 AS quantity), 'geometry' FROM base),
-p AS (SELECT doc_id, hyp, count(*) AS n, count(*) FILTER (quantity * unit_price IS NOT NULL AND line_total IS NOT NULL) AS checked,
- count(*) FILTER (abs(quantity * unit_price - line_total) <= greatest(0.04, 0.006 * abs(line_total))) AS good, count(line_total) AS with_amount,
- coalesce(CAST(sum(CAST(line_total AS DECIMAL(18,2))) AS DOUBLE), 0) AS total, avg(((quantity IS NOT NULL)::INT + (unit_price IS NOT NULL)::INT + (line_total IS NOT NULL)::INT) / 3) AS complete FROM r GROUP BY ALL),
-q AS (SELECT p.*, d.total AS target, n / max(n) OVER (PARTITION BY doc_id) AS coverage FROM p LEFT JOIN ({_DOCS}) d USING (doc_id)),
-f AS (SELECT *, CASE WHEN checked > 0 THEN good / checked ELSE 0.55::DOUBLE END AS arith,
- CASE WHEN target > 0 AND with_amount / n >= 0.8 THEN with_amount / n * CASE WHEN {_close('total', 'target')} THEN 0.42::DOUBLE WHEN total >= 0 AND total < target THEN -0.38::DOUBLE * (1 - total / target) ELSE -least(0.38::DOUBLE, 0.24::DOUBLE * abs(total - target) / greatest(abs(target), 1.0)) END ELSE 0.0::DOUBLE END AS total_fit FROM q),
-s AS (SELECT doc_id, hyp, n, arith, complete, total_fit, 0.34::DOUBLE * arith + 0.24::DOUBLE * complete + CASE hyp WHEN 'native_table' THEN 0.18::DOUBLE WHEN 'geometry' THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END + total_fit + 0.08::DOUBLE * coverage AS score FROM f)"""
-
-
-@query(_READ + " SELECT doc_id, hyp, n, round(arith, 6) AS arith, round(complete, 6) AS complete, round(total_fit, 6) AS total_fit, round(score, 6) AS score FROM s")
-def hypothesis_scores(spark, sf):
-    out = hypotheses.score(_readings(spark, sf), documents(spark, sf).withColumnRenamed("total", "target"))
-    return out.select("doc_id", "hyp", "n", *(F.round(c, 6).alias(c) for c in ("arith", "complete", "total_fit", "score")))
-
-
-@query(_READ + " SELECT doc_id, hyp, n, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, n DESC, hyp) = 1")
-def hypothesis_winner(spark, sf):
-    best = hypotheses.winner(hypotheses.score(_readings(spark, sf), documents(spark, sf).withColumnRenamed("total", "target")))
-    return best.select("doc_id", "hyp", "n", F.round("score", 6).alias("score"))
-
-
 def _refs(spark, sf):
     return table(spark, sf, "part").select(F.concat(F.col("p_brand"), F.lit("-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("ref"))
 
