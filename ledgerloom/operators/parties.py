@@ -1,9 +1,8 @@
-"""Parties and addresses: canonical values, shared roles, exact and close matches to an index."""
+"""Parties and addresses: canonical values, shared roles, exact matches to an index."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
@@ -28,19 +27,3 @@ def address_key(*parts: Column) -> Column:
 def matches(candidates: DataFrame, index: DataFrame, exact: bool) -> DataFrame:
     """Candidates whose key the index has, or (exact=False) hasn't."""
     return candidates.join(index.select("key").distinct(), "key", "left_semi" if exact else "left_anti")
-
-
-def similarity(a: Column, b: Column) -> Column:
-    """1 less the edit distance over the longer length."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
-
-
-def close_match(candidates: DataFrame, index: DataFrame, block: str, least: float = 0.92, margin: float = 0.04) -> DataFrame:
-    """For each candidate the best name in its block, if it is exact, or close and clearly ahead of the second."""
-    pairs = candidates.join(index, block).withColumn("score", similarity(F.col("name"), F.col("known")))
-    order = W.partitionBy("id").orderBy(F.desc("score"), "known")
-    ranked = pairs.withColumn("n", F.row_number().over(order)).withColumn("second", F.lead("score").over(order)).where("n = 1")
-    ahead = F.col("score") - F.coalesce("second", F.lit(0.0))
-    good = (F.col("score") == 1) | ((F.col("score") >= least) & (ahead >= margin))
-    return ranked.select("id", "name", F.when(good, F.col("known")).alias("known"), "score", F.when(good, "MATCH").otherwise("NOT_FOUND").alias("verdict"))

@@ -8,56 +8,35 @@ from pyspark.sql import functions as F
 
 
 def rows_of_words(words: DataFrame, share: float = 0.65) -> DataFrame:
-    """Adds ``row``: words in the order of their centres join the nearest row within a share of the reference height."""
+    """Adds ``row``, from the top: words in the order of their centres join the nearest row within a share of the greater height; of the smaller, if one is twice the other and both hold text."""
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
         page = page.assign(_cy=(page.y0 + page.y1) / 2).sort_values(["_cy", "x0", "ix"], kind="stable")
-        centres: list[list[float]] = []  # centre, height, members
+        lines: list[list] = []  # centre, greatest height, members, whether one has a letter or digit
         labels = []
-        for cy, height in zip(page._cy, page.y1 - page.y0, strict=True):
+        for cy, height, text in zip(page._cy, (page.y1 - page.y0).clip(lower=1.0), page.text.fillna(""), strict=True):
+            worded = any(c.isalnum() for c in text)
             best, far = -1, float("inf")
-            for i, (c, h, _) in enumerate(centres):
-                d = abs(cy - c)
-                reference = min(h, height) if max(h, height) > 2 * min(h, height) else max(h, height)
-                if d < far and d <= share * reference:
+            for i, (c, h, _, line_worded) in enumerate(lines):
+                small, large = min(h, height), max(h, height)
+                # a logo or drop cap must not bridge two baselines; a small sign may
+                reach = small if large > 2 * small and worded and line_worded else large
+                if (d := abs(cy - c)) <= share * reach and d < far:
                     best, far = i, d
             if best < 0:
-                centres.append([cy, height, 1])
-                best = len(centres) - 1
+                lines.append([cy, height, 1, worded])
+                best = len(lines) - 1
             else:
-                c, h, n = centres[best]
-                centres[best] = [(c * n + cy) / (n + 1), (h * n + height) / (n + 1), n + 1]
+                c, h, n, line_worded = lines[best]
+                lines[best] = [(c * n + cy) / (n + 1), max(h, height), n + 1, line_worded or worded]
             labels.append(best)
-        return page.assign(row=pd.Series(labels, index=page.index, dtype="int64")).drop(columns="_cy")
+        place = {old: new for new, old in enumerate(sorted(range(len(lines)), key=lambda i: lines[i][0]))}
+        return page.assign(row=pd.Series([place[x] for x in labels], index=page.index, dtype="int64")).drop(columns="_cy")
 
     schema = words.withColumn("row", F.lit(0).cast("long")).schema
     return words.groupBy("doc_id", "page").applyInPandas(run, schema)
 
 
-def match_boxes(boxes: DataFrame) -> DataFrame:
-    """(doc_id, type, pred_ix, truth_ix, iou): each prediction in order takes the unused truth with the largest overlap."""
-
-    def iou(a, b) -> float:
-        w, h = min(a.x1, b.x1) - max(a.x0, b.x0), min(a.y1, b.y1) - max(a.y0, b.y0)
-        if w <= 0 or h <= 0:
-            return 0.0
-        both = w * h
-        return both / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - both)
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ix")
-        truth = list(part[part.side == "truth"].itertuples())
-        used, out = set(), []
-        for p in part[part.side == "pred"].itertuples():
-            best = max(((iou(p, t), -k) for k, t in enumerate(truth) if k not in used), default=(0.0, 0))
-            if best[0] > 0:
-                used.add(-best[1])
-                out.append((*key, p.ix, truth[-best[1]].ix, best[0]))
-        return pd.DataFrame(out, columns=["doc_id", "type", "pred_ix", "truth_ix", "iou"])
-
-    return boxes.groupBy("doc_id", "type").applyInPandas(run, "doc_id string, type string, pred_ix long, truth_ix long, iou double")
-
-
 def translation(pairs: DataFrame, tolerance: float = 6.0) -> DataFrame:
     """The median shift of anchors (doc_id, dx, dy), accepted if two and three quarters of them agree with it."""
     centre = pairs.groupBy("doc_id").agg(F.median("dx").alias("mx"), F.median("dy").alias("my"), F.count("*").alias("n"))

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import checksums
 from ..functions import text as T
-from ..operators import evaluation, history, pages, parties, references, spatial, support, validation
+from ..operators import evaluation, history, pages, parties, references, support, validation
 from ..sources import readers
 from ..streaming import feedback
-from . import addressed, judged, ordered, paged, readings, scalars, scored, stored  # noqa: F401  (enter their queries)
+from . import addressed, judged, laid, ordered, paged, readings, scalars, scored, stored  # noqa: F401  (enter their queries)
 from .registry import ORACLE_SQL, QUERIES, query, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -163,15 +163,6 @@ def address_key_anti_join(spark, sf):
     return parties.matches(*_keyed(spark, sf), exact=False).select("id")
 
 
-@query("""WITH p AS (SELECT c_custkey AS id, c_name AS name, s_name AS known, CASE WHEN greatest(length(c_name), length(s_name)) = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(c_name, s_name)::DOUBLE / greatest(length(c_name), length(s_name)) END AS score
- FROM (SELECT c_custkey, c_nationkey, replace(c_name, 'Customer', 'Supplier') AS c_name FROM customer) JOIN supplier ON s_nationkey = c_nationkey),
-r AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second FROM p WINDOW w AS (PARTITION BY id ORDER BY score DESC, known))
-SELECT id, name, CASE WHEN ok THEN known END AS known, score, CASE WHEN ok THEN 'MATCH' ELSE 'NOT_FOUND' END AS verdict FROM (SELECT *, score = 1 OR (score >= 0.92 AND score - coalesce(second, 0) >= 0.04) AS ok FROM r WHERE n = 1)""")
-def fuzzy_top2_margin(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.regexp_replace("c_name", "Customer", "Supplier").alias("name"), F.col("c_nationkey").alias("nation"))
-    return parties.close_match(c, table(spark, sf, "supplier").select(F.col("s_name").alias("known"), F.col("s_nationkey").alias("nation")), "nation")
-
-
 @query(f"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^\\x00-\\x7F]+', '', 'g'), '[^a-z0-9]+', ' ', 'g'))) AS folded_sha256 FROM documents")
 def text_fold(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(T.fold(F.col("text")), 256).alias("folded_sha256"))
@@ -306,25 +297,6 @@ def date_status(spark, sf):
     return j.select(F.col("o_orderkey").alias("doc_id"), state.alias("status"))
 
 
-@query()
-def row_clustering(spark, sf):
-    """Words of a fixed page: two baselines and an accent between them."""
-    rows = [("d", 1, i, w, x, y, x + 20.0, y + 10.0) for i, (w, x, y) in enumerate([("Article", 30.0, 300.0), ("Qte", 105.0, 301.0), ("Prix", 335.0, 299.5), ("A12", 30.0, 320.0), ("2", 105.0, 320.5)])]
-    return spatial.rows_of_words(spark.createDataFrame(rows, "doc_id string, page int, ix int, text string, x0 double, y0 double, x1 double, y1 double"))
-
-
-@query()
-def box_iou_pairs(spark, sf):
-    rows = [("d", "cell", "pred", 0, 0.0, 0.0, 10.0, 10.0), ("d", "cell", "truth", 0, 1.0, 1.0, 9.0, 9.0), ("d", "cell", "truth", 1, 50.0, 50.0, 60.0, 60.0)]
-    return spatial.match_boxes(spark.createDataFrame(rows, "doc_id string, type string, side string, ix long, x0 double, y0 double, x1 double, y1 double"))
-
-
-@query()
-def translation_consensus(spark, sf):
-    rows = [("d", 5.0, 1.0), ("d", 6.0, 1.0), ("d", 5.5, 2.0), ("d", 90.0, 0.0)]
-    return spatial.translation(spark.createDataFrame(rows, "doc_id string, dx double, dy double"))
-
-
 @query("SELECT DISTINCT user_id FROM events")
 def streaming_feedback_dedup(spark, sf):
     """The events as a stream, each user's first event accepted within the watermark."""

@@ -1,10 +1,12 @@
 """Operators on the small fixtures that fix their semantics."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import addresses, identifiers, numbers, text
 from ledgerloom.functions.money import close
-from ledgerloom.operators import evaluation, hypotheses, pages, spatial, support, validation
+from ledgerloom.operators import evaluation, hypotheses, scoring, spatial, support, validation
 from ledgerloom.sources import readers
 
 
@@ -28,18 +30,60 @@ def test_price_for_a_hundred_is_no_error(spark):
     assert [(r["code"], r["path"]) for r in validation.audit_lines(rows).collect()] == [("QUANTITY_MISSING", "lines[1]")]
 
 
-def test_complete_reading_beats_fragment(spark):
-    full = [("d", "current", 1.0, 10.0, 10.0)] * 19
-    part = [("d", "native_table", 1.0, 10.0, 10.0)] * 2
-    lines = spark.createDataFrame(full + part, "doc_id string, hyp string, quantity double, unit_price double, line_total double")
-    best = hypotheses.winner(hypotheses.score(lines, spark.createDataFrame([("d", 190.0)], "doc_id string, target double"))).first()
-    assert best["hyp"] == "current" and best["total_fit"] == 0.42
+READING = "doc_id string, hyp string, material string, description string, quantity double, unit_price double, net_unit_price double, line_total double, raw_text string, reference_status string, reference_score double"
 
 
-def test_boxes(spark):
-    rows = [("d", "cell", "pred", 0, 0.0, 0.0, 10.0, 10.0), ("d", "cell", "truth", 0, 1.0, 1.0, 9.0, 9.0)]
-    out = spatial.match_boxes(spark.createDataFrame(rows, "doc_id string, type string, side string, ix long, x0 double, y0 double, x1 double, y1 double")).first()
-    assert round(out["iou"], 2) == 0.64
+def test_complete_reading_beats_fragment(spark):
+    line = lambda hyp, i: ("d", hyp, f"AB{i}", "pump", 1.0, 10.0, None, 10.0, "", "SUPPORTED", 0.9)
+    lines = spark.createDataFrame([line("current", i) for i in range(11)] + [line("native_table", i) for i in range(2)], READING)
+    none = spark.createDataFrame([], "doc_id string, hyp string, amount double")
+    scores = hypotheses.score(lines, none, spark.createDataFrame([("d", 110.0)], "doc_id string, target double"))
+    best = hypotheses.winner(scores).first()
+    assert best["hyp"] == "current" and best["total_fit"] == 0.42 and best["reconciled"]
+    assert [r["hyp"] for r in hypotheses.partial_rejections(scores).collect()] == ["native_table"]
+
+
+def overlap(a, b):
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    both = max(0, w) * max(0, h)
+    return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both)
+
+
+def test_greedy_matches_by_hand(spark):
+    rng = random.Random(5)
+    box = lambda: (x := rng.randint(0, 30), y := rng.randint(0, 30), x + rng.randint(5, 30), y + rng.randint(5, 30))
+    predicted, truth = ([(g, i, *map(float, box())) for g in range(8) for i in range(rng.randint(0, 7))] for _ in range(2))
+    columns = lambda p: f"g int, {p}ix int, " + ", ".join(f"{p}{i} double" for i in range(4))
+    got = scoring.greedy_matches(spark.createDataFrame(predicted, columns("p")), spark.createDataFrame(truth, columns("t")), ["g"]).collect()
+    want = set()
+    for g in range(8):
+        free = {t[1]: t[2:] for t in truth if t[0] == g}
+        for p in (p for p in predicted if p[0] == g):
+            best = max(((overlap(p[2:], t), -i) for i, t in free.items()), default=(0, 0))
+            if best[0] > 0:
+                want.add((g, p[1], -best[1], round(best[0], 9)))
+                del free[-best[1]]
+    assert {(r["g"], r["pix"], r["tix"], round(r["iou"], 9)) for r in got} == want
+
+
+def test_a_drop_cap_bridges_no_rows(spark):
+    words = [("d", 1, 0, "B", 0.0, 0.0, 20.0, 40.0), ("d", 1, 1, "on", 25.0, 2.0, 40.0, 12.0), ("d", 1, 2, "de", 25.0, 28.0, 40.0, 38.0), ("d", 1, 3, ".", 60.0, 10.0, 62.0, 12.0)]
+    rows = spatial.rows_of_words(spark.createDataFrame(words, "doc_id string, page int, ix int, text string, x0 double, y0 double, x1 double, y1 double")).collect()
+    row = {r["ix"]: r["row"] for r in rows}
+    assert row[1] != row[2] and row[3] == row[1]
+
+
+def test_boxes_of_regions(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions import boxes
+
+    lit = lambda *v: tuple(F.lit(float(x)) for x in v)
+    row = spark.range(1).select(
+        boxes.overlaps(lit(0, 0, 2, 2), lit(2, 0, 4, 2)).alias("touch"), boxes.overlaps(lit(0, 0, 2, 2), lit(1, 1, 4, 2)).alias("over"), F.array(*boxes.shifted(lit(10, 990, 20, 999), F.lit(-15.0), F.lit(5.0))).alias("moved"),
+        F.array(*boxes.from_thousand(lit(100, 200, 300, 400), F.lit(500.0), F.lit(1000.0))).alias("own"), boxes.valid_region(lit(0, 0, 0, 1)).alias("flat"), F.array(*boxes.union(lit(0, 5, 1, 6), lit(2, 1, 3, 2))).alias("both"), F.array(*boxes.to_thousand(lit(1, 2, 700, 900), 500, 800)).alias("thousand"),
+    ).first()
+    assert tuple(row) == (False, True, [0.0, 995.0, 5.0, 1000.0], [50.0, 200.0, 150.0, 400.0], False, [0.0, 1.0, 3.0, 6.0], [2, 2, 1000, 1000])
 
 
 def test_split_is_stable(spark):
