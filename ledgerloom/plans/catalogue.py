@@ -303,7 +303,7 @@ def streaming_feedback_dedup(spark, sf):
     source = table(spark, sf, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     stream = stream.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return feedback.run_once(feedback.accepted_once(stream, "user_id", "ts", "3650 days"), "feedback").select("user_id")
+    return feedback.run_once(feedback.accepted_once(stream, "user_id", "ts", "1 day"), "feedback").select("user_id")
 
 
 _LUHN = "list_sum(list_transform(range(1, length({0}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {0}[length({0}) - i + 1]::INT ELSE 2 * {0}[length({0}) - i + 1]::INT - CASE WHEN {0}[length({0}) - i + 1]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"

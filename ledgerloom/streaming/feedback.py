@@ -20,7 +20,12 @@ def accepted_once(stream: DataFrame, key: str, time: str, late: str = "1 day") -
 def run_once(stream: DataFrame, name: str) -> DataFrame:
     """All that is there now, written as Parquet with a checkpoint to the shared folder, and read again."""
     spark = stream.sparkSession
-    top = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerloom-")).rstrip("/")
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+    top = top.rstrip("/")
     path = f"{top}/ledgerloom-stream-{name}-{uuid.uuid4().hex}"
     run = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -125,3 +125,11 @@ def test_scalar_forms(spark):
     assert tuple(value(addresses.town(F.lit("PARIS CEDEX 08")))) == ("PARIS", True, "08")
     assert value(addresses.key(F.lit("2"), F.lit(""), F.lit(""), F.lit("83000"), F.lit("Toulon"))) is None
     assert [value(identifiers.bad_order_number(F.lit(t))) for t in ("PO-123", "a@b12", "Total 12", "01 02 03 04 05", "A", None)] == [False, True, True, True, True, True]
+
+
+def test_many_short_passages(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "the pump 12 runs"), (2, "a"), (3, None), (4, "pump")], "doc_id long, text string")
+    passages = spark.createDataFrame([(1, "pump"), (2, "p"), (3, ""), (4, "12 r"), (5, "zz"), (6, None), (7, "pump 12 runs on and")], "item_id long, passage string")
+    few = sorted(map(tuple, support.holds(texts, passages).collect()))
+    monkeypatch.setattr(support, "SHORT", 0)
+    assert sorted(map(tuple, support.holds(texts, passages).collect())) == few == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 3), (4, 1), (4, 2), (4, 3)]
