@@ -11,7 +11,7 @@ lengths that are powers of two, which need no padding. Sequence ids are the task
 a task that is run again gives the same rows.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id is kept as null; repeated rows are packed as often as
-they come; an empty table gives no rows; a document of any length is cut; extra columns are ignored.
+they come; an empty table gives no rows; a document of any length is cut; of pieces that are as good the first to come is taken; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import kept_by
+from .textkit import kept_by, slices
 
 #: Tokens, segments and loss-bearing tokens that a sequence holds.
 LIMITS = (2048, 512, 2048)
+#: The same for turns of conversations, of which half a sequence at most may bear loss.
+TURN_LIMITS = (2048, 64, 1024)
 #: Pieces among which a sequence chooses.
 BLOCK = 2048
 #: Texts over so many characters are tokenized in parts, cut where no token can cross.
@@ -311,6 +313,37 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: tuple[int, int, int]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def pack_turns(turns: DataFrame, tokenizer: str, limits: tuple[int, int, int] = TURN_LIMITS, end: int = END) -> DataFrame:
+    """One row for each piece of a turn of conversations (conv_id, turn, role, text), under limits that all bind: conv_id, turn, start, length, loss_tokens, sequence_id, offset.
+
+    All tokens of an assistant's turn bear loss, its end token too; those of other roles none. A turn that fits no sequence is cut.
+    A null text is the end token alone; null ids are kept; repeated rows are packed as often as they come; an empty table gives no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, packer = ids_of(tokenizer), Packer(limits)
+        base = TaskContext.get().partitionId() << 40
+        names = ["conv_id", "turn", "start", "length", "loss_tokens", "sequence_id", "offset"]
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            columns = ([r[0][0] for r in rows], [r[0][1] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[2] * r[0][2] for r in rows], [base + r[3] for r in rows], [r[4] for r in rows])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+        for part in (s for b in batches for s in slices(b)):
+            rows: list[tuple] = []
+            sizes = [len(ids) // 4 + 1 for ids in encode.batch([t or "" for t in part.column("text").to_pylist()])]
+            for conv, turn, role, n in zip(*(part.column(c).to_pylist() for c in ("conv_id", "turn", "role")), sizes, strict=True):
+                bears = int(role == "assistant")
+                rows.extend(packer.add((conv, turn, bears), 0, n, n * bears))
+            if rows:
+                yield made(rows)
+        if rows := list(packer.finish()):
+            yield made(rows)
+
+    picked = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.lower("role").alias("role"), F.col("text").cast("string").alias("text"))
+    return picked.mapInArrow(run, "conv_id long, turn long, start long, length long, loss_tokens long, sequence_id long, offset long")
+
+
 def pack_examples(examples: DataFrame, limits: tuple[int, int, int] = LIMITS) -> DataFrame:
     """Whole instruction examples (example_id, tokens, loss_tokens) to sequences: adds sequence_id and offset.
 

@@ -54,7 +54,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.learn(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_quality_rules, op4_mixing, op5_simhash, op6_url_filter, op7_toxicity, op8_warc, op9_licenses, op10_language)}
+def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op1 on instruction data, where its limit on loss-bearing tokens binds."""
+    return packing.pack_turns(table(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_quality_rules, op4_mixing, op5_simhash, op6_url_filter, op7_toxicity, op8_warc, op9_licenses, op10_language, packing_conversations)}
 
 _WORDS = r"string_split_regex(trim(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '[\x20\x09-\x0D]+')"
 _BLANKS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"

@@ -122,6 +122,31 @@ def test_pack_examples(spark):
         assert sum(r["tokens"] for r in part) <= 64 and len(part) <= 4 and sum(r["loss_tokens"] for r in part) <= 9
 
 
+def test_pack_turns(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(PATH)
+    long_turn = " ".join(f"word{i}" for i in range(3000))
+    table = spark.read.parquet(f"{DATA}/conversations.parquet").unionByName(spark.createDataFrame([(None, 0, "assistant", long_turn), (10**6, None, "user", long_turn), (10**6, 1, None, None), (10**6, 1, None, None)], "conv_id long, turn long, role string, text string"))
+    rows = packing.pack_turns(table, PATH).collect()
+    want, tiles, bears = Counter(), defaultdict(int), {}
+    for r in table.collect():
+        want[r["conv_id"], r["turn"]] += len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+        bears[r["conv_id"], r["turn"]] = r["role"] == "assistant"
+    for r in rows:
+        tiles[r["conv_id"], r["turn"]] += r["length"]
+        assert r["loss_tokens"] == r["length"] * bears[r["conv_id"], r["turn"]]
+    assert tiles == want
+    full = 0
+    for _, part in itertools.groupby(sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])), key=lambda r: r["sequence_id"]):
+        part = list(part)
+        loss, size = sum(r["loss_tokens"] for r in part), sum(r["length"] for r in part)
+        assert loss <= 1024 and size <= 2048 and len(part) <= 64 and [r["offset"] for r in part] == list(itertools.accumulate([0, *(r["length"] for r in part)]))[:-1]
+        full += loss == 1024
+    assert full  # the limit binds
+    assert packing.pack_turns(table.where("false"), PATH).collect() == []
+
+
 # ---- fingerprints
 
 
