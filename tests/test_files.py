@@ -118,3 +118,25 @@ def test_jsonl(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n{bad\n{"a": 2}\n')
     good, counts = files.jsonl(spark, str(tmp_path / "x.jsonl"), "a int")
     assert sorted(r["a"] for r in good.collect()) == [1, 2] and tuple(counts.first()) == (3, 1)
+
+
+def test_writers_never_overwrite(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from ledgerloom.operators import addressbook, contract
+
+    rows = spark.createDataFrame([(1, "a")], "id int, name string")
+    contract.write_new(rows, str(tmp_path / "new"))
+    with pytest.raises(AnalysisException):
+        contract.write_new(rows, str(tmp_path / "new"))
+    contract.write_report([rows, spark.createDataFrame([(2, 0.5)], "id int, score double")], str(tmp_path / "report"))
+    assert sorted(map(tuple, spark.read.option("header", True).csv(str(tmp_path / "report")).collect())) == [("1", "a", None), ("2", None, "0.5")]
+    contract.write_report([rows.where("false")], str(tmp_path / "empty"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "empty")).columns == ["id", "name"]
+    book = spark.createDataFrame([("1", None, "rue X", "69000", "Lyon"), ("2", None, "rue X", "20000", "Ajaccio")], "number string, repetition string, street string, postal_code string, city string")
+    keys, streets = addressbook.build_index(book)
+    contract.write_index(keys, streets, str(tmp_path / "index"))
+    back = spark.read.option("basePath", str(tmp_path / "index/keys")).parquet(str(tmp_path / "index/keys"))
+    assert sorted(r["department"] for r in back.collect()) == ["2A", "2B", "69"]
+    found = addressbook.verify(book.withColumns({"id": book["number"], "country": book["repetition"]}), back, spark.read.parquet(str(tmp_path / "index/streets"))).collect()
+    assert {r["id"]: r["status"] for r in found} == {"1": "EXACT_MATCH", "2": "EXACT_MATCH"}
