@@ -233,24 +233,28 @@ def date_like(x: Column) -> Column:
 
 def item_code(x: Column) -> Column:
     """Whether a token may be an article's code: 4 to 40 usual signs with a digit, and a letter or six digits; no date, no caption."""
-    t = F.btrim(x, F.lit("[](){}:;,. |"))
-    enough = t.rlike(r"\p{L}") | (F.length(digits(t)) >= 6)
-    return F.length(t).between(4, 40) & ~F.upper(t).isin(*ITEM_EXCLUDES) & ~date_like(t) & t.rlike("[0-9]") & enough & ~t.rlike("[^A-Za-z0-9._/-]")
+    def judge(t: Column) -> Column:
+        enough = t.rlike(r"\p{L}") | (F.length(digits(t)) >= 6)
+        return F.length(t).between(4, 40) & ~F.upper(t).isin(*ITEM_EXCLUDES) & ~date_like(t) & t.rlike("[0-9]") & enough & ~t.rlike("[^A-Za-z0-9._/-]")
+
+    return let(F.btrim(x, F.lit("[](){}:;,. |")), judge)
 
 
 def reference_cell(x: Column) -> Column:
     """Struct (reference, description) of a cell whose code and description ran together; grouped digits (7 to 13) are one code."""
-    text = squeezed(x)
-    parts = F.split(text, " ")
-    joined = F.array_join(parts, "")
-    grouped = F.array_size(parts).between(2, 5) & F.forall(parts, lambda p: p.rlike("^[0-9]{1,4}$")) & F.length(joined).between(7, 13)
-    codes = F.transform(parts, lambda p: item_code(p))
-    at = F.array_position(codes, F.lit(True)).cast("int")
-    code = F.btrim(F.get(parts, at - 1), F.lit("[](){}:;,. |"))
-    rest = F.array_join(F.filter(parts, lambda p, i: i != at - 1), " ")
     none = F.lit(None).cast("string")
     pair = lambda a, b: F.struct(a.alias("reference"), b.alias("description"))
-    return F.when(text == "", pair(none, none)).when(grouped, pair(joined, none)).when(at == 0, pair(none, text)).otherwise(pair(code, F.nullif(rest, F.lit(""))))
+
+    def split(v: Column) -> Column:
+        parts, at = v["parts"], v["at"]
+        joined = F.array_join(parts, "")
+        grouped = F.array_size(parts).between(2, 5) & F.forall(parts, lambda p: p.rlike("^[0-9]{1,4}$")) & F.length(joined).between(7, 13)
+        code = F.btrim(F.get(parts, at - 1), F.lit("[](){}:;,. |"))
+        rest = F.array_join(F.filter(parts, lambda p, i: i != at - 1), " ")
+        return F.when(v["text"] == "", pair(none, none)).when(grouped, pair(joined, none)).when(at == 0, pair(none, v["text"])).otherwise(pair(code, F.nullif(rest, F.lit(""))))
+
+    placed = lambda text: let(F.split(text, " "), lambda parts: F.struct(text.alias("text"), parts.alias("parts"), F.array_position(F.transform(parts, item_code), F.lit(True)).cast("int").alias("at")))
+    return let(let(squeezed(x), placed), split)
 
 
 def valid_reference(x: Column) -> Column:
