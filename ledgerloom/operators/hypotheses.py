@@ -71,7 +71,7 @@ def set_quality() -> Column:
     c, n = F.col, F.col("n")
     arithmetic = F.when(c("seen") > 0, 0.45 * c("good") / c("seen") - 0.55 * (c("seen") - c("good")) / c("seen")).otherwise(0.0)
     crowd = F.when(n > 12, F.least(F.lit(0.75), (n - 12) * 0.055)).otherwise(0.0)
-    return F.round(1.25 * c("complete") + 0.22 * c("described") / n + 0.15 * c("coded") / n + F.least(n, F.lit(8)) * 0.025 - 0.45 * c("fragments") / n - F.least(F.lit(0.8), c("absurd") * 0.18) + arithmetic - crowd, 6)
+    return 1.25 * c("complete") + 0.22 * c("described") / n + 0.15 * c("coded") / n + F.least(n, F.lit(8)) * 0.025 - 0.45 * c("fragments") / n - F.least(F.lit(0.8), c("absurd") * 0.18) + arithmetic - crowd
 
 
 def score(lines: DataFrame, charges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -106,4 +106,4 @@ def winner(scores: DataFrame) -> DataFrame:
 def best_set(lines: DataFrame) -> DataFrame:
     """The reading of each document with the best quality by itself, ties to more lines (up to 20), then to the first by ``rank``."""
     per = measures(lines).withColumn("quality", set_quality()).join(lines.groupBy("doc_id", "hyp").agg(F.min("rank").alias("rank")), ["doc_id", "hyp"])
-    return per.groupBy("doc_id").agg(F.min_by(F.struct("hyp", "n", "quality"), F.struct(-F.col("quality"), -F.least("n", F.lit(20)), "rank")).alias("b")).select("doc_id", "b.*")
+    return per.groupBy("doc_id").agg(F.min_by(F.struct("hyp", "n", "quality"), F.struct(-F.round("quality", 9), -F.least("n", F.lit(20)), "rank")).alias("b")).select("doc_id", "b.*")

@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..operators import evaluation, history, pages, parties, references, support, validation
 from ..sources import readers
 from ..streaming import feedback
-from . import addressed, annotated, judged, laid, ordered, paged, readings, scalars, scored, stored, tabled  # noqa: F401  (enter their queries)
+from . import addressed, annotated, judged, laid, ordered, paged, readings, routed, scalars, scored, stored, tabled  # noqa: F401  (enter their queries)
 from .registry import ORACLE_SQL, QUERIES, query, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -44,7 +44,7 @@ p AS (SELECT doc_id, hyp, min(rank) AS rank, count(*) AS n, avg(({' + '.join(map
  count(*) FILTER (ass AND reference_status = 'ALPHA_ONLY') AS severe, count(*) FILTER (ass AND reference_status = 'ATYPICAL') AS atypical FROM x GROUP BY doc_id, hyp),
 c AS (SELECT l_orderkey AS doc_id, 'native_table' AS hyp, l_suppkey AS amount FROM lineitem WHERE l_linenumber = 7 UNION ALL SELECT l_orderkey, 'current', l_suppkey FROM lineitem WHERE l_linenumber = 7 AND l_suppkey > 50), g AS (SELECT doc_id, hyp, count(*) AS charges, sum(amount) AS charge_sum FROM c GROUP BY ALL),
 j AS (SELECT p.*, coalesce(charges, 0) AS charges, line_sum + coalesce(charge_sum, 0) AS total, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS target, n / max(n) OVER (PARTITION BY doc_id) AS coverage,
- round(1.25 * complete + 0.22 * described / n + 0.15 * coded / n + least(n, 8) * 0.025 + CASE WHEN seen > 0 THEN 0.45 * good / seen - 0.55 * (seen - good) / seen ELSE 0 END - CASE WHEN n > 12 THEN least(0.75, (n - 12) * 0.055) ELSE 0 END, 6) AS quality FROM p LEFT JOIN g USING (doc_id, hyp) LEFT JOIN orders ON o_orderkey = doc_id),
+ 1.25 * complete + 0.22 * described / n + 0.15 * coded / n + least(n, 8) * 0.025 + CASE WHEN seen > 0 THEN 0.45 * good / seen - 0.55 * (seen - good) / seen ELSE 0 END - CASE WHEN n > 12 THEN least(0.75, (n - 12) * 0.055) ELSE 0 END AS quality FROM p LEFT JOIN g USING (doc_id, hyp) LEFT JOIN orders ON o_orderkey = doc_id),
 k AS (SELECT *, CASE WHEN checked > 0 THEN exact / checked ELSE 0.55 END AS arith, abs(total - target) <= greatest(0.03, abs(target) * 0.005) AS near,
  CASE WHEN eligible > 0 THEN 0.14 * supported / eligible * support ELSE 0 END - 0.18 * (severe + 0.25 * atypical) / greatest(assessed, 1) AS pattern FROM j),
 f AS (SELECT *, coalesce(CASE WHEN target > 0 AND with_amount / n >= 0.8 THEN with_amount / n * CASE WHEN near THEN 0.42 WHEN total >= 0 AND total < target THEN -0.38 * (1 - total / target) ELSE -least(0.38, 0.24 * abs(total - target) / target) END END, 0) AS total_fit, coalesce(target > 0 AND with_amount / n >= 0.8 AND near, false) AS reconciled FROM k),
@@ -55,10 +55,11 @@ _S = _sql()
 _CUT = "t AS (SELECT a.doc_id, a.hyp FROM s a JOIN s b ON b.doc_id = a.doc_id AND b.hyp = 'current' WHERE a.hyp <> 'current' AND b.supported >= 4 AND b.supported - a.supported >= 2 AND a.n / b.n < 0.7 AND NOT a.reconciled)"
 
 
-@query(_S + " SELECT doc_id, hyp, n, round(quality, 4) AS quality, round(arith, 4) AS arith, round(noise, 4) AS noise, round(pattern, 6) AS pattern, round(total_fit, 6) AS total_fit, reconciled, round(score, 6) AS score FROM s")
+@query(_S + " SELECT doc_id, hyp, n, round(quality, 6) AS quality, round(arith, 6) AS arith, round(noise, 6) AS noise, round(pattern + 1e-9, 6) AS pattern, round(total_fit + 1e-9, 6) AS total_fit, reconciled, round(score + 1e-9, 6) AS score FROM s")
 def hypothesis_scores(spark, sf):
     out = H.score(readings(spark, sf), charges(spark, sf), targets(spark, sf))
-    return out.select("doc_id", "hyp", "n", *(F.round(c, 4).alias(c) for c in ("quality", "arith", "noise")), *(F.round(c, 6).alias(c) for c in ("pattern", "total_fit", "score")), "reconciled")
+    # a little more than nothing lets exact halves go up in both engines
+    return out.select("doc_id", "hyp", "n", *(F.round(c, 6).alias(c) for c in ("quality", "arith", "noise")), *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("pattern", "total_fit", "score")), "reconciled")
 
 
 @query(f"{_S}, {_CUT} SELECT doc_id, hyp FROM t")
@@ -71,6 +72,6 @@ def hypothesis_winner(spark, sf):
     return H.winner(H.score(readings(spark, sf), charges(spark, sf), targets(spark, sf))).select("doc_id", "hyp", "n")
 
 
-@query(_S + " SELECT doc_id, hyp, n, round(quality, 4) AS quality FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY quality DESC, least(n, 20) DESC, rank) = 1")
+@query(_S + " SELECT doc_id, hyp, n, round(quality, 6) AS quality FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(quality, 9) DESC, least(n, 20) DESC, rank) = 1")
 def best_line_sets(spark, sf):
-    return H.best_set(readings(spark, sf)).withColumn("quality", F.round("quality", 4))
+    return H.best_set(readings(spark, sf)).withColumn("quality", F.round("quality", 6))
