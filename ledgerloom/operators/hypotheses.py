@@ -61,7 +61,7 @@ def measures(lines: DataFrame) -> DataFrame:
     n = F.count_if
     return lines.groupBy("doc_id", "hyp").agg(
         F.count("*").alias("n"), F.avg(complete).alias("complete"), n(there("description") & c("description").rlike(r"\p{L}")).alias("described"), n(compact).alias("coded"), n(F.coalesce("quantity", "unit_price", "line_total").isNull()).alias("fragments"), F.sum(absurd).alias("absurd"),
-        n(seen).alias("seen"), n(seen & fits).alias("good"), n(gross.isNotNull() & c("line_total").isNotNull()).alias("checked"), n(gross.isNotNull() & c("line_total").isNotNull() & closer).alias("exact"), F.count(amount).alias("with_amount"), F.coalesce(F.sum(cents(amount)).cast("double"), F.lit(0.0)).alias("line_sum"), F.sum(noise).alias("noise"),
+        n(seen).alias("seen"), n(seen & fits).alias("good"), n(gross.isNotNull() & c("line_total").isNotNull()).alias("checked"), n(gross.isNotNull() & c("line_total").isNotNull() & closer).alias("exact"), F.count(amount).alias("with_amount"), F.coalesce(F.sum(amount.cast("decimal(18,6)")).cast("double"), F.lit(0.0)).alias("line_sum"), F.sum(noise).alias("noise"),
         n(assessed).alias("assessed"), n(eligible).alias("eligible"), n(supported).alias("supported"), F.coalesce(F.avg(F.when(supported, c("reference_score"))), F.lit(0.0)).alias("support"), n(assessed & status.isin(*SEVERE)).alias("severe"), n(assessed & (status == "ATYPICAL")).alias("atypical"),
     )
 

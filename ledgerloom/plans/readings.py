@@ -39,7 +39,7 @@ r AS (SELECT *, 'current' AS hyp, 0 AS rank FROM base UNION ALL SELECT *, 'nativ
 x AS (SELECT *, coalesce(net_unit_price, unit_price) AS price, description IS NOT NULL AND coalesce(quantity, unit_price, line_total) IS NOT NULL AS ass FROM r),
 p AS (SELECT doc_id, hyp, min(rank) AS rank, count(*) AS n, avg(({' + '.join(map(there, ('material', 'description', 'quantity', 'unit_price', 'line_total')))}) / 5) AS complete, count(description) AS described, count(*) FILTER (material IS NOT NULL AND material <> 'A B C') AS coded, 0 AS fragments,
  count(*) FILTER (quantity IS NOT NULL AND price IS NOT NULL AND line_total IS NOT NULL) AS seen, count(*) FILTER (abs(quantity * price - line_total) <= greatest(0.03, abs(line_total) * 0.01)) AS good, count(quantity * unit_price * line_total) AS checked, count(*) FILTER (abs(quantity * unit_price - line_total) <= greatest(0.04, abs(quantity * unit_price) * 0.006)) AS exact,
- count(coalesce(line_total, quantity * price)) AS with_amount, coalesce(CAST(sum(CAST(coalesce(line_total, quantity * price) AS DECIMAL(18,2))) AS DOUBLE), 0) AS line_sum, sum(CASE WHEN k % 31 = 0 THEN 1.0 ELSE 0 END + CASE WHEN k % 43 = 0 THEN 1.0 ELSE 0 END + CASE WHEN k % 31 <> 0 AND k % 37 = 0 THEN 0.75 ELSE 0 END) AS noise,
+ count(coalesce(line_total, quantity * price)) AS with_amount, coalesce(CAST(sum(CAST(coalesce(line_total, quantity * price) AS DECIMAL(18,6))) AS DOUBLE), 0) AS line_sum, sum(CASE WHEN k % 31 = 0 THEN 1.0 ELSE 0 END + CASE WHEN k % 43 = 0 THEN 1.0 ELSE 0 END + CASE WHEN k % 31 <> 0 AND k % 37 = 0 THEN 0.75 ELSE 0 END) AS noise,
  count(*) FILTER (ass) AS assessed, count(*) FILTER (ass AND reference_status <> 'MISSING') AS eligible, count(*) FILTER (ass AND reference_status = 'SUPPORTED' AND reference_score >= 0.74) AS supported, coalesce(avg(reference_score) FILTER (ass AND reference_status = 'SUPPORTED' AND reference_score >= 0.74), 0) AS support,
  count(*) FILTER (ass AND reference_status = 'ALPHA_ONLY') AS severe, count(*) FILTER (ass AND reference_status = 'ATYPICAL') AS atypical FROM x GROUP BY doc_id, hyp),
 c AS (SELECT l_orderkey AS doc_id, 'native_table' AS hyp, l_suppkey AS amount FROM lineitem WHERE l_linenumber = 7 UNION ALL SELECT l_orderkey, 'current', l_suppkey FROM lineitem WHERE l_linenumber = 7 AND l_suppkey > 50), g AS (SELECT doc_id, hyp, count(*) AS charges, sum(amount) AS charge_sum FROM c GROUP BY ALL),
