@@ -38,7 +38,7 @@ POSITIVES, UNLABELLED, FEATURES = 4000, 8000, 2048
 LEAST, SHARE = 5, 0.5
 #: Word beginnings of these many bytes are features besides the words.
 BEGINNINGS = (4, 6, 8)
-STEPS, RATE, DECAY = 600, 0.05, 1e-3
+STEPS, RATE, DECAY = 600, 0.05, 6e-4
 _BLOOM = 20
 
 
