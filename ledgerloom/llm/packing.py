@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import kept_by, slices
+from .textkit import freed, kept_by, slices
 
 #: Tokens, segments and loss-bearing tokens that a sequence holds.
 LIMITS = (2048, 512, 2048)
@@ -40,9 +40,10 @@ TURN_LIMITS = (2048, 64, 1024)
 BLOCK = 2048
 #: Texts over so many characters are tokenized in parts, cut where no token can cross.
 PART = 1 << 20
-#: Pieces of text whose ids a worker remembers, before it begins anew; texts that are tokenized together, and their characters.
-REMEMBERED = 800_000
-TEXTS, CHARACTERS = 2000, 1 << 22
+#: Pieces of text whose ids a worker remembers, before it begins anew; texts that are tokenized together, and their characters; rows of an answer.
+#: A worker holds all of this beside two tokenizers, and an executor has a worker for each core.
+REMEMBERED = 300_000
+TEXTS, CHARACTERS, ROWS = 2000, 1 << 20, 1000
 END = 1
 
 
@@ -167,6 +168,7 @@ def ids_of(path: str) -> Ids:
     kept = kept_by("packing")
     if path not in kept:
         kept[path] = Ids(path)
+        freed()
     return kept[path]
 
 
@@ -302,12 +304,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: tuple[int, int, int]
                 if n > full * size:
                     tail = (doc_id, ids[4 * full * size :], n, full * size)
                     held.extend(packer.add(tail, 0, n - full * size, n - full * size - 1))
-                if len(held) >= 5000:
+                if len(held) >= ROWS:
                     yield made(held)
                     held = []
         held.extend(packer.finish())
-        for at in range(0, len(held), 5000):
-            yield made(held[at : at + 5000])
+        for at in range(0, len(held), ROWS):
+            yield made(held[at : at + ROWS])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,8 +34,18 @@ def kept_by(operator: str) -> dict:
     """The operator's cache in this worker; those of other operators are dropped."""
     for other in [name for name in _kept if name != operator]:
         del _kept[other]
-        pa.default_memory_pool().release_unused()
-    return _kept.setdefault(operator, {})
+    if operator not in _kept:
+        _kept[operator] = {}
+        freed()
+    return _kept[operator]
+
+
+def freed() -> None:
+    """Gives the memory that this worker no longer uses back to the system: it lives on beside the next stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
 
 
 def slices(batch: pa.RecordBatch, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
