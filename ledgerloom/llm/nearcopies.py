@@ -1,10 +1,13 @@
-"""Near-copies by text: MinHash buckets for candidates, exact Jaccard similarity of the five-word shingles to decide.
+"""Near-copies by text: SimHash links and MinHash buckets for candidates, exact Jaccard similarity of the five-word shingles to decide.
 
 Two documents are near-copies if the sets of their runs of five words have a Jaccard similarity of at least 0.8; a text of fewer words
 has one shingle of all its words. Words are cut at ASCII white space and ASCII letters are folded. ``BANDS`` keys of ``ROWS_PER_BAND``
 minima each go to buckets: two texts of similarity s share a bucket but for a chance of (1 - s^6)^30, which at 0.8 is 0.0001.
 Every link is checked on the shingle sets themselves, so a bucket decides only what is compared.
 
+The first candidates are those of ``simhash``, by its segment-popcount embedding, grid join under the Manhattan bound and Hamming check: of texts
+with one fingerprint all meet the first, and so do the firsts of fingerprints within two bits. As most pairs at 0.8 lie further apart, buckets give the rest.
+
 Texts alike but for case and white space are grouped first, so copies never meet as pairs. Each bucket has a pivot, the text with the most
 company in all its buckets, and each text is first compared with the weightiest pivot that it meets; what that links needs no more pairs. Then texts that
 lie in another component than their bucket's pivot meet the bucket's other texts. Within that join a lossless bound drops nearly all that can't be alike:
@@ -25,7 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .simhash import components, one_of_each
+from .simhash import components, fingerprint, one_of_each
+from .simhash import links as fingerprint_links
 from .store import discard, materialise
 from .textkit import Words, chunks, kept_by, mix, slices
 
@@ -91,7 +95,7 @@ def _bytes(docs: DataFrame) -> DataFrame:
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, keys): the text's digest and its band keys; none for a text without words."""
+    """(doc_id, t, fp, keys): the text's digest, its SimHash and its band keys; no keys for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_by("nearcopies")
@@ -99,9 +103,19 @@ def with_keys(docs: DataFrame) -> DataFrame:
             for part in slices(b):
                 texts = [t or b"" for t in part.column("text").to_pylist()]
                 rows = [r if t.strip() else [] for r, t in zip(keys(texts), texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests(texts)), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "t", "keys"])
+                fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests(texts)), pa.array(fps), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "t", "fp", "keys"])
+
+    return _bytes(docs).mapInArrow(run, "doc_id long, t long, fp long, keys array<long>")
+
 
-    return _bytes(docs).mapInArrow(run, "doc_id long, t long, keys array<long>")
+def met_by_fingerprint(own: DataFrame) -> DataFrame:
+    """(a, b): texts ``own(t, fp)`` with the first text of their fingerprint, and the firsts of fingerprints that ``simhash`` links."""
+    groups = materialise(own.groupBy("fp").agg(F.min("t").alias("least"), F.count("*").alias("n")), "fingerprints")
+    first = lambda name: groups.select(F.col("fp").alias(name), F.col("least").alias(f"t{name}"))
+    linked = fingerprint_links(groups.select("fp"), groups.count()).join(first("a"), "a").join(first("b"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+    same = own.select("t", "fp").join(groups.where("n > 1"), "fp").where("t <> least").select(F.col("least").alias("a"), F.col("t").alias("b"))
+    return materialise(linked.unionByName(same), "fingerprint-pairs")
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -158,16 +172,17 @@ def reachable(n: Column, m: Column, parities: list[tuple[Column, Column]], simil
 
 
 def links(docs: DataFrame, own: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): links between the distinct texts ``own(t, keys)`` of ``docs`` that connect all near-copies that share a bucket."""
+    """(a, b): links between the distinct texts ``own(t, fp, keys)`` of ``docs`` that connect all near-copies that share a bucket, and those that SimHash brings together."""
+    by_fingerprint = met_by_fingerprint(own)
     cells = own.select("t", F.explode("keys").alias("key"))
     met = materialise(cells.join(cells.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "met")
     weighed = materialise(met.join(met.groupBy("t").agg(F.sum("size").alias("w")), "t").select("key", "t", "w"), "weighed")
     pivots = weighed.groupBy("key").agg(F.max(F.struct("w", F.col("t").alias("a"))).alias("pivot"))
     met_pivot = materialise(weighed.join(pivots, "key").select("key", "t", "pivot"), "pivots")
-    known = materialise(shingle_sets(docs, met.select("t").distinct()), "sets")
+    known = materialise(shingle_sets(docs, met.select("t").union(by_fingerprint.select("a")).union(by_fingerprint.select("b")).distinct()), "sets")
     first = met_pivot.where(F.col("t") != F.col("pivot")["a"]).groupBy(F.col("t").alias("b")).agg(F.max("pivot").alias("pivot")).select(F.col("pivot")["a"].alias("a"), "b")
     first = materialise(first, "first")
-    near = materialise(alike(first, known, similarity), "near")
+    near = materialise(alike(first.unionByName(by_fingerprint).distinct(), known, similarity), "near")
     roots = materialise(components(near), "roots")
     placed = met_pivot.select("key", "t", F.col("pivot")["a"].alias("a")).join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("c", F.coalesce("root", "t")).drop("root")
     placed = placed.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ca")), "a", "left").withColumn("far", F.col("c") != F.coalesce("ca", "a")).drop("a", "ca")
@@ -180,17 +195,17 @@ def links(docs: DataFrame, own: DataFrame, similarity: float = SIMILARITY) -> Da
     rest = rest.select(F.least("t", "t_").alias("a"), F.greatest("t", "t_").alias("b")).distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(alike(rest.join(done, ["a", "b"], "left_anti"), known, similarity), "rest")
-    discard(met, weighed, met_pivot, known, first, placed, roots)
+    discard(met, weighed, met_pivot, known, first, placed, roots, by_fingerprint)
     return near.unionByName(rest)
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, t, copies) of the row that stays of each component, and how often it is there."""
     prints = materialise(with_keys(docs), "prints")
-    rows = prints.groupBy("doc_id", "t").agg(F.count("*").alias("copies"), F.first("keys").alias("keys"))
+    rows = prints.groupBy("doc_id", "t").agg(F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copies")).alias("least")
-    own = materialise(rows.groupBy("t").agg(least, F.first("keys").alias("keys")), "texts")
-    roots = materialise(components(links(docs, own.select("t", "keys"))), "components")
+    own = materialise(rows.groupBy("t").agg(least, F.first("fp").alias("fp"), F.first("keys").alias("keys")), "texts")
+    roots = materialise(components(links(docs, own.select("t", "fp", "keys"))), "components")
     rooted = own.select("t", "least").join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
     stays = rooted.groupBy("root").agg(F.min(F.struct("least.no_id", "least.doc_id", "t", "least.copies")).alias("s")).select("s.doc_id", "s.t", "s.copies")
     return materialise(stays, "stays")

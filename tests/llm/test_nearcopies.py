@@ -87,3 +87,16 @@ def test_long_texts_have_the_shingles_of_their_words():
     assert len(nearcopies.sets([text.encode(), b"a b", b""])[0]) == len(shingles(text))
     assert [len(s) for s in nearcopies.sets([b"a b", b"", b"A b c d e  F"])] == [1, 0, 2]
     assert (nearcopies.keys([b"x y z", b"A b  c d e f"])[1] == nearcopies.keys([b"a b c d e f"])[0]).all()
+
+
+def test_simhash_links_without_buckets(spark):
+    """Copies but for a word of 1,500 lie within two bits: the SimHash join brings them together with no bucket at all."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    words = [f"w{rng.integers(5000)}" for _ in range(1500)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"x{rng.integers(5000)}" for _ in range(1500))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = nearcopies.with_keys(docs).withColumn("keys", F.array().cast("array<long>")).drop("doc_id")
+    named = nearcopies.digests([t.encode() for t in texts]).tolist()
+    assert [{r["a"], r["b"]} for r in nearcopies.links(docs, own).collect()] == [set(named[:2])]
