@@ -140,3 +140,14 @@ def test_writers_never_overwrite(spark, tmp_path):
     assert sorted(r["department"] for r in back.collect()) == ["2A", "2B", "69"]
     found = addressbook.verify(book.withColumns({"id": book["number"], "country": book["repetition"]}), back, spark.read.parquet(str(tmp_path / "index/streets"))).collect()
     assert {r["id"]: r["status"] for r in found} == {"1": "EXACT_MATCH", "2": "EXACT_MATCH"}
+
+
+def test_small_files_share_frames():
+    import pandas as pd
+
+    from ledgerloom.sources import files
+
+    batch = pd.DataFrame({"path": [f"{i}.txt" for i in range(3000)] + ["null.txt"], "content": [b"a\nb"] * 3000 + [None]})
+    made = list(files.frames(iter([batch, batch])))
+    assert len(made) <= 10
+    assert sum(map(len, made)) == len(pd.concat(made)[["path", "ix", "text"]]) and pd.concat(made)["part"].eq("block").sum() == 12000
