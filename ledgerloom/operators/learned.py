@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import placeholders
-from ..functions.text import identifier, structural_shape
+from ..functions.text import identifier, let, structural_shape
 from .scoring import out_of_distribution, temperature
 
 CHARACTERS, GRAMS, FEATURES = 240, (2, 3, 4), 1 << 13
@@ -26,8 +26,7 @@ TEMPERATURE, PRIOR_WEIGHT = 1.0, 1.0
 def grams(text: Column, sizes: Sequence[int] = GRAMS, characters: int = CHARACTERS) -> Column:
     """All runs of characters of a text's beginning, dates and amounts replaced by their kind."""
     head = F.concat(F.lit(" "), F.substring(placeholders(text), 1, characters), F.lit(" "))
-    runs = [_runs(head, n) for n in sizes]
-    return F.concat(*runs)
+    return let(head, lambda h: F.concat(*(_runs(h, n) for n in sizes)))
 
 
 def _runs(head: Column, n: int) -> Column:

@@ -133,3 +133,14 @@ def test_many_short_passages(spark, monkeypatch):
     few = sorted(map(tuple, support.holds(texts, passages).collect()))
     monkeypatch.setattr(support, "SHORT", 0)
     assert sorted(map(tuple, support.holds(texts, passages).collect())) == few == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 3), (4, 1), (4, 2), (4, 3)]
+
+
+def test_grams_prepare_a_text_once(spark):
+    from ledgerloom.operators import learned
+
+    df = spark.createDataFrame([("Le 12/05/2024 prix 3,50 n 123456789",), (None,), ("a",)], "text string").select(learned.grams(F.col("text")).alias("g"))
+    assert df._jdf.queryExecution().analyzed().toString().count("<amount>") == 1
+    rows = [r["g"] for r in df.collect()]
+    head = " le  <date>  prix  <amount>  n  <longnum>  "
+    assert rows[0] == [head[i : i + n] for n in (2, 3, 4) for i in range(len(head) - n + 1)]
+    assert rows[1] == ["  "] and rows[2] == [" a", "a ", " a "]
