@@ -91,15 +91,20 @@ def score(lines: DataFrame, charges: DataFrame, targets: DataFrame) -> DataFrame
 
 def partial_rejections(scores: DataFrame) -> DataFrame:
     """(doc_id, hyp) of readings that drop most of the current one's supported lines without meeting the printed total."""
-    now = scores.where("hyp = 'current'").select("doc_id", F.col("supported").alias("now_supported"), F.col("n").alias("now_n"))
-    rows = scores.where("hyp <> 'current'").join(now, "doc_id")
-    lost = (F.col("now_supported") >= 4) & (F.col("now_supported") - F.col("supported") >= 2) & (F.col("n") / F.greatest("now_n", F.lit(1)) < 0.70) & ~F.col("reconciled")
-    return rows.where(lost).select("doc_id", "hyp")
+    return with_rejection(scores).where("rejected").select("doc_id", "hyp")
+
+
+def with_rejection(scores: DataFrame) -> DataFrame:
+    """Adds ``rejected``, in one pass over the scores: their partition by document is the one that they were made in."""
+    of_now = lambda c: F.max(F.when(F.col("hyp") == "current", F.col(c))).over(W.partitionBy("doc_id"))
+    rows = scores.withColumns({"_supported": of_now("supported"), "_n": of_now("n")})
+    lost = (F.col("_supported") >= 4) & (F.col("_supported") - F.col("supported") >= 2) & (F.col("n") / F.greatest("_n", F.lit(1)) < 0.70) & ~F.col("reconciled")
+    return rows.withColumn("rejected", (F.col("hyp") != "current") & F.coalesce(lost, F.lit(False))).drop("_supported", "_n")
 
 
 def winner(scores: DataFrame) -> DataFrame:
     """The best reading of each document that isn't rejected; ties go to more lines, then to the first by name."""
-    kept = scores.join(partial_rejections(scores), ["doc_id", "hyp"], "left_anti")
+    kept = with_rejection(scores).where("NOT rejected").drop("rejected")
     return kept.groupBy("doc_id").agg(F.min_by(F.struct(*(c for c in scores.columns if c != "doc_id")), F.struct(-F.round("score", 9), -F.col("n"), "hyp")).alias("b")).select("doc_id", "b.*")
 
 
