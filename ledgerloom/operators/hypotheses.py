@@ -1,7 +1,8 @@
 """Competing readings of a document's lines: how complete and coherent each is, how it meets the printed total, and the one that wins.
 
 A reading is the lines of one (doc_id, hyp): material, description, quantity, unit_price, net_unit_price, line_total, raw_text, and of its reference
-the status and score. Lines are aggregated once by (doc_id, hyp); all else works on a row a reading.
+the status and score. Lines are judged where they are read and sent once, by document, as one number of marks and two amounts; they are aggregated
+there by (doc_id, hyp), and all else works on a row a reading in the same partition.
 """
 
 from __future__ import annotations
@@ -9,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..functions.judgements import any_of, date_like, fee_kind, words_in
+from ..functions.judgements import FEE_WORDS, any_of, date_like, fee_kind, may_hold, words_in
 from ..functions.money import cents
 from ..functions.text import fold, fold_spaces
 
@@ -22,6 +24,8 @@ SOURCE_BONUS = {
 #: Text that shows a line to be no product; statuses of references that speak against a reading.
 NOISE = ("siret", "no tva", "capital de", "conditions generales", "page ")
 FOOTERS = ("poids", "total hors", "total ht", "reglement")
+#: A word of each of these and of each fee; a line with none of them is no noise.
+NOISE_WORDS = (*FEE_WORDS, "siret", "tva", "capital", "conditions", "page", "poids", "total", "reglement")
 SEVERE = ("ALPHA_ONLY", "TEXT_CAPTURE")
 
 
@@ -37,33 +41,48 @@ def meets(total: Column, target: Column) -> Column:
     return F.abs(total - target) <= F.greatest(F.lit(0.03), F.abs(target) * 0.005)
 
 
-def measures(lines: DataFrame) -> DataFrame:
-    """The counts of each reading that its quality and score are made of."""
+def measures(lines: DataFrame, charges: DataFrame | None = None) -> DataFrame:
+    """The counts of each reading that its quality and score are made of; with ``charges``, their number and sum."""
     c = F.col
-    there = lambda x: F.coalesce(c(x).cast("string"), F.lit("")) != ""
+    texts = {f.name for f in lines.schema if isinstance(f.dataType, StringType)}
+    there = lambda x: F.coalesce(c(x), F.lit("")) != "" if x in texts else c(x).isNotNull()
     core = ("material", "description", "quantity", "unit_price", "line_total")
-    complete = sum((there(x).cast("int") for x in core), F.lit(0)) / len(core)
     material = F.trim(F.coalesce("material", F.lit("")))
-    compact = (material != "") & (F.length(material) <= 48) & (F.array_size(F.split(material, " +")) <= 2)
-    absurd = sum((F.coalesce(F.abs(c(x)) > 1e9, F.lit(False)).cast("int") for x in ("quantity", "unit_price", "line_total")), F.lit(0))
     price = F.coalesce("net_unit_price", "unit_price")
     seen = c("quantity").isNotNull() & price.isNotNull() & c("line_total").isNotNull()
-    fits = F.abs(c("quantity") * price - c("line_total")) <= F.greatest(F.lit(0.03), F.abs("line_total") * 0.01)
     gross = c("quantity") * c("unit_price")
-    closer = F.abs(gross - c("line_total")) <= F.greatest(F.lit(0.04), F.abs(gross) * 0.006)
-    amount = F.coalesce("line_total", c("quantity") * price)
+    checked = gross.isNotNull() & c("line_total").isNotNull()
+    amount = F.coalesce("line_total", c("quantity") * price).cast("decimal(18,6)")
     whole, printed = F.concat_ws(" ", "material", "description", "raw_text"), F.concat_ws(" ", "description", "raw_text")
-    noise = F.when(fee_kind(whole).isNotNull() | any_of(fold_spaces(whole), NOISE), 1.0).otherwise(0.0) + F.when(date_like(material), 1.0).otherwise(0.0) + F.when(words_in(fold(printed), FOOTERS), 0.75).otherwise(0.0)
+    noise = F.when(may_hold(whole, NOISE_WORDS), F.when(fee_kind(whole).isNotNull() | any_of(fold_spaces(whole), NOISE), 4).otherwise(0) + F.when(words_in(fold(printed), FOOTERS), 3).otherwise(0)).otherwise(0) + F.when(date_like(material), 4).otherwise(0)
     assessed = (F.length(F.trim(F.coalesce("description", F.lit("")))) >= 2) & F.coalesce("quantity", "unit_price", "line_total").isNotNull()
     status = F.coalesce("reference_status", F.lit("MISSING"))
     eligible = assessed & (status != "MISSING")
     supported = eligible & (status == "SUPPORTED") & (c("reference_score") >= 0.74)
-    n = F.count_if
-    return lines.groupBy("doc_id", "hyp").agg(
-        F.count("*").alias("n"), F.avg(complete).alias("complete"), n(there("description") & c("description").rlike(r"\p{L}")).alias("described"), n(compact).alias("coded"), n(F.coalesce("quantity", "unit_price", "line_total").isNull()).alias("fragments"), F.sum(absurd).alias("absurd"),
-        n(seen).alias("seen"), n(seen & fits).alias("good"), n(gross.isNotNull() & c("line_total").isNotNull()).alias("checked"), n(gross.isNotNull() & c("line_total").isNotNull() & closer).alias("exact"), F.count(amount).alias("with_amount"), F.coalesce(F.sum(amount.cast("decimal(18,6)")).cast("double"), F.lit(0.0)).alias("line_sum"), F.sum(noise).alias("noise"),
-        n(assessed).alias("assessed"), n(eligible).alias("eligible"), n(supported).alias("supported"), F.coalesce(F.avg(F.when(supported, c("reference_score"))), F.lit(0.0)).alias("support"), n(assessed & status.isin(*SEVERE)).alias("severe"), n(assessed & (status == "ATYPICAL")).alias("atypical"),
-    )
+    flags = {
+        "described": there("description") & c("description").rlike(r"\p{L}"), "coded": (material != "") & (F.length(material) <= 48) & ~material.rlike(" [^ ]+ "), "fragments": F.coalesce("quantity", "unit_price", "line_total").isNull(),
+        "seen": seen, "good": seen & (F.abs(c("quantity") * price - c("line_total")) <= F.greatest(F.lit(0.03), F.abs("line_total") * 0.01)), "checked": checked, "exact": checked & (F.abs(gross - c("line_total")) <= F.greatest(F.lit(0.04), F.abs(gross) * 0.006)),
+        "with_amount": F.coalesce("line_total", c("quantity") * price).isNotNull(), "assessed": assessed, "eligible": eligible, "supported": supported, "severe": assessed & status.isin(*SEVERE), "atypical": assessed & (status == "ATYPICAL"),
+    }
+    # small numbers of a line, in bits above the flags': core fields that it has, absurd numbers, quarters of noise
+    counts = {"core": (sum((there(x).cast("int") for x in core), F.lit(0)), 3), "absurd": (sum((F.coalesce(F.abs(c(x)) > 1e9, F.lit(False)).cast("int") for x in ("quantity", "unit_price", "line_total")), F.lit(0)), 2), "noise": (noise, 4)}
+    marks = sum((F.when(v, 1 << i).otherwise(0) for i, v in enumerate(flags.values())), F.lit(0))
+    flag = {k: c("_marks").bitwiseAND(1 << i) != 0 for i, k in enumerate(flags)}
+    at, number = len(flags), {}
+    for k, (value, bits) in counts.items():
+        marks = marks + value * (1 << at)
+        number[k] = F.shiftright(c("_marks"), at).bitwiseAND((1 << bits) - 1)
+        at += bits
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = lines.select("doc_id", "hyp", marks.alias("_marks"), amount.alias("_amount"), F.when(supported, c("reference_score")).alias("_support"))
+    if charges is not None:  # sent along, as readings of no line; a null key is none's
+        rows = rows.withColumns({"_charge": none("decimal(18,2)"), "_paid": F.lit(False)}).unionByName(charges.where("doc_id IS NOT NULL AND hyp IS NOT NULL").select("doc_id", "hyp", none("int").alias("_marks"), none("decimal(18,6)").alias("_amount"), none("double").alias("_support"), cents(c("amount")).alias("_charge"), F.lit(True).alias("_paid")))
+    n, zero = F.count_if, F.lit(0.0)
+    paid = [] if charges is None else [n("_paid").alias("charges"), F.coalesce(F.sum("_charge").cast("double"), zero).alias("charge_sum")]
+    return rows.repartition("doc_id").groupBy("doc_id", "hyp").agg(
+        F.count("_marks").alias("n"), F.avg(number["core"] / len(core)).alias("complete"), *(n(v).alias(k) for k, v in flag.items()), F.sum(number["absurd"]).alias("absurd"), (F.sum(number["noise"]) / 4).alias("noise"),
+        F.coalesce(F.sum("_amount").cast("double"), zero).alias("line_sum"), F.coalesce(F.avg("_support"), zero).alias("support"), *paid,
+    ).where("n > 0")
 
 
 def set_quality() -> Column:
@@ -77,13 +96,12 @@ def set_quality() -> Column:
 def score(lines: DataFrame, charges: DataFrame, targets: DataFrame) -> DataFrame:
     """(doc_id, hyp) with the parts of the score and the score; ``charges`` has doc_id, hyp, amount, ``targets`` doc_id, target."""
     c = F.col
-    paid = charges.groupBy("doc_id", "hyp").agg(F.count("*").alias("charges"), F.coalesce(F.sum(cents(c("amount"))).cast("double"), F.lit(0.0)).alias("charge_sum"))
-    per = measures(lines).join(paid, ["doc_id", "hyp"], "left").join(targets.select("doc_id", "target"), "doc_id", "left")
-    per = per.withColumns({"charges": F.coalesce("charges", F.lit(0)), "total": c("line_sum") + F.coalesce("charge_sum", F.lit(0.0)), "coverage": c("n") / F.max("n").over(W.partitionBy("doc_id")), "quality": set_quality()})
-    per = per.withColumns({
-        "arith": F.when(c("checked") > 0, c("exact") / c("checked")).otherwise(0.55), "total_fit": total_fit(c("total"), c("target"), c("with_amount"), c("n")), "reconciled": F.coalesce((c("target") > 0) & (c("with_amount") / c("n") >= 0.8) & meets(c("total"), c("target")), F.lit(False)),
-        "pattern": F.when(c("eligible") > 0, 0.14 * c("supported") / c("eligible") * c("support")).otherwise(0.0) - 0.18 * (c("severe") + 0.25 * c("atypical")) / F.greatest(c("assessed"), F.lit(1)),
-    })
+    per = measures(lines, charges).select(
+        "doc_id", "hyp", "n", "complete", "with_amount", "noise", "supported", "charges", (c("line_sum") + c("charge_sum")).alias("total"), set_quality().alias("quality"), F.when(c("checked") > 0, c("exact") / c("checked")).otherwise(0.55).alias("arith"),
+        (F.when(c("eligible") > 0, 0.14 * c("supported") / c("eligible") * c("support")).otherwise(0.0) - 0.18 * (c("severe") + 0.25 * c("atypical")) / F.greatest(c("assessed"), F.lit(1))).alias("pattern"),
+    )
+    per = per.join(targets.select("doc_id", "target"), "doc_id", "left")
+    per = per.withColumns({"coverage": c("n") / F.max("n").over(W.partitionBy("doc_id")), "total_fit": total_fit(c("total"), c("target"), c("with_amount"), c("n")), "reconciled": F.coalesce((c("target") > 0) & (c("with_amount") / c("n") >= 0.8) & meets(c("total"), c("target")), F.lit(False))})
     bonus = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in SOURCE_BONUS.items() for x in kv)), c("hyp")), F.lit(0.0))
     value = 0.30 * c("quality") + 0.34 * c("arith") + 0.24 * c("complete") + bonus + F.least(F.lit(0.08), 0.02 * c("charges")) + c("pattern") - F.least(F.lit(0.40), 0.5 * c("noise") / c("n")) + c("total_fit") + 0.08 * c("coverage")
     return per.select("doc_id", "hyp", "n", "quality", "arith", "complete", "pattern", "noise", "total_fit", "reconciled", "supported", value.alias("score"))

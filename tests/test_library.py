@@ -144,3 +144,24 @@ def test_grams_prepare_a_text_once(spark):
     head = " le  <date>  prix  <amount>  n  <longnum>  "
     assert rows[0] == [head[i : i + n] for n in (2, 3, 4) for i in range(len(head) - n + 1)]
     assert rows[1] == ["  "] and rows[2] == [" a", "a ", " a "]
+
+
+def test_readings_of_few_charges_are_judged_by_word(spark):
+    from ledgerloom.functions import judgements as J
+
+    texts = ["Pompe 12", "FRAIS de port", "Fraïs de gestion", "ｆｒａｉｓ", "éco-participation", "Total HT", "pompe sport", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(J.may_hold(F.col("t"), J.FEE_WORDS).alias("may"), J.fee_kind(F.col("t")).alias("fee")).collect()
+    assert [r["may"] for r in got] == [False, True, True, True, True, False, True, False, None]
+    assert [r["fee"] for r in got] == [None, "shipping", "surcharge", "surcharge", "environmental_fee", None, None, None, None]
+
+
+def test_readings_are_scored_in_one_exchange_of_lines(spark):
+    line = lambda doc, hyp, text, price: (doc, hyp, "AB 1", text, 2.0, price, None, 2.0 * price, "", "SUPPORTED", 0.9)
+    lines = spark.createDataFrame([line("d", "current", "pump", 10.0), line("d", "current", "frais de port", 5.0), line("d", "native_table", "12/05/2024", 10.0), line(None, "current", "pump", 1.0)], READING)
+    charges = spark.createDataFrame([("d", "current", 3.0), ("d", "current", None), ("d", "geometry", 9.0), (None, "current", 7.0)], "doc_id string, hyp string, amount double")
+    scores = hypotheses.score(lines, charges, spark.createDataFrame([("d", 33.0)], "doc_id string, target double"))
+    assert {(r["doc_id"], r["hyp"]): (r["n"], r["noise"], r["reconciled"]) for r in scores.collect()} == {("d", "current"): (2, 1.0, True), ("d", "native_table"): (1, 0.0, False), (None, "current"): (1, 0.0, False)}
+    # the lines with their charges, and the targets; before, readings went twice and charges once
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and plan.count("Join") == 1
