@@ -91,7 +91,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _texts(b: pa.RecordBatch) -> list[str]:
-    return [(t or b"").decode("utf-8", "replace") for t in b.column("text").to_pylist()]
+    return _decoded(b.column("text"))
+
+
+def _decoded(texts: pa.Array) -> list[str]:
+    return [(t or b"").decode("utf-8", "replace") for t in texts.to_pylist()]
 
 
 def sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[DataFrame, float]:
@@ -115,9 +119,9 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int)
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each batch, in how many positive and unlabelled documents a feature occurs."""
+    kept_by("toxicity")
     for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            part = b.slice(at, 1000)
+        for part in slices(b):
             texts, pos = _texts(part), part.column("pos").to_numpy()
             parts = []
             for owner, h in hashed(texts):
@@ -151,9 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     model = Model(hashes, np.zeros(len(hashes)), 0.0)
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("toxicity")
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for part in slices(b):
                 x = np.zeros((part.num_rows, len(hashes)), bool)
                 for o, f in model.present(_texts(part)):
                     x[o, f] = True
@@ -202,12 +206,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that score under 0.5, as they came."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_by("toxicity")
         for b in batches:
             for part in slices(b):
-                yield part.select(["_row"]).filter(pa.array(model.scores(_texts(part)) < 0.5))
+                text = part.column("_row").field(at).cast(pa.binary())  # read where it lies: a text beside its row would be held twice by executor and worker
+                yield part.filter(pa.array(model.scores(_decoded(text)) < 0.5))
 
-    return rows.mapInArrow(run, rows.select("_row").schema).select("_row.*")
+    return rows.mapInArrow(run, rows.schema).select("_row.*")
